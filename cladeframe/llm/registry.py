@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import sharding
+from cladeframe.llm import packing, sharding
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
     "op8_hilbert": sharding.op8_hilbert,
 }
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import packing, sharding
+from cladeframe.llm import packing, secrets, sharding
 
 QUERIES = {
     "op4_packing": packing.op4_packing,
+    "op7_secrets": secrets.op7_secrets,
     "op8_hilbert": sharding.op8_hilbert,
 }
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import packing, secrets, sharding
+from cladeframe.llm import packing, pii, secrets, sharding
 
 QUERIES = {
     "op4_packing": packing.op4_packing,
+    "op10_pii": pii.op10_pii,
     "op7_secrets": secrets.op7_secrets,
     "op8_hilbert": sharding.op8_hilbert,
 }

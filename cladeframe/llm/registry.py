@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import packing, pii, secrets, sharding
+from cladeframe.llm import packing, pii, secrets, sharding, simhash
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
     "op10_pii": pii.op10_pii,
     "op7_secrets": secrets.op7_secrets,

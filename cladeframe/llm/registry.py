@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import packing, pii, secrets, sharding, simhash
+from cladeframe.llm import langid, packing, pii, secrets, sharding, simhash
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
     "op10_pii": pii.op10_pii,

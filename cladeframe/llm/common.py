@@ -72,3 +72,15 @@ def global_index(df: DataFrame, keys: list[Column], name: str, tag: str) -> Data
     joined = fixed.withColumn("_part", part).join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
     row = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     return joined.withColumn(name, F.col("_before") + row).drop("_mid", "_part", "_p", "_before")
+
+
+#: Ids that are broadcast at most: 8 MB of longs.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """docs semi- or anti-joined with the one column of ids (staged). A counted set of at most BROADCAST_IDS
+    ids is broadcast; a larger one is joined by a shuffle of both sides."""
+    name = ids.columns[0]
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs[key] == ids[name], how)

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from cladeframe.llm import langid, packing, pii, secrets, sharding, simhash
+from pyspark.sql import DataFrame, SparkSession
+
+from cladeframe.llm import decontaminate, langid, packing, pii, secrets, sharding, simhash
+
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
+    "pipeline": pipeline,
     "op1_langid": langid.op1_langid,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
     "op10_pii": pii.op10_pii,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_secrets": secrets.op7_secrets,
     "op8_hilbert": sharding.op8_hilbert,
 }

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import need, shuffle_partitions, staged
+from cladeframe.llm.common import by_ids, need, shuffle_partitions, staged
 from cladeframe.llm.components import components
 from cladeframe.llm.tokens import in_slices
 
@@ -234,14 +234,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, cell:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their group of near duplicates: that of the smallest doc_id, once.
+    """The rows of docs, all columns, that stand for their group of near duplicates: that of the smallest doc_id, once.
 
-    Documents without an id can't be named; one of each group of them without any id stays.
+    Rows without a doc_id can't be named and all stay.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"))
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"))
-    named = docs.join(keep.where("_keep IS NOT NULL").distinct(), F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return named
+    groups = staged(near_duplicates(docs.select("doc_id", "text")), "near-duplicates").where("doc_id IS NOT NULL")
+    gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    repeated = staged(groups.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"), "repeated")
+    left = by_ids(docs, gone, "left_anti")
+    if repeated.isEmpty():
+        return left
+    # A text whose id comes again may differ; one row stays for each id.
+    return by_ids(left, repeated, "left_anti").unionByName(by_ids(left, repeated, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

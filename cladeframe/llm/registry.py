@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeframe.llm import decontaminate, langid, packing, pii, secrets, sharding, simhash
+from cladeframe.llm import decontaminate, langid, packing, pii, quotes, secrets, sharding, simhash
 
 
 
@@ -17,6 +17,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pipeline": pipeline,
     "op1_langid": langid.op1_langid,
+    "op2_quotes": quotes.op2_quotes,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
     "op10_pii": pii.op10_pii,

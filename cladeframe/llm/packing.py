@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.llm.common import need, shuffle_partitions, staged
-from cladeframe.llm.tokens import ChunkIds, default_tokenizer, in_slices
+from cladeframe.llm.tokens import default_tokenizer, encoder, in_slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -45,12 +45,12 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkIds(path)
+        words = encoder(path)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for first, texts in in_slices(batch.column(1).to_pylist()):
                 out: list[tuple] = []
-                for doc_id, ids in zip(doc_ids[first:], encoder.ids(texts), strict=False):
+                for doc_id, ids in zip(doc_ids[first:], words.ids(texts), strict=False):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]

@@ -8,13 +8,17 @@ was seen before isn't encoded again.
 from __future__ import annotations
 
 import os
+import re
 from itertools import repeat
 
 import numpy as np
 
-#: Chunks remembered by one Python worker; beyond it the memory starts anew. Results don't depend on it.
-REMEMBERED = 600_000
+#: Chunks remembered by one Python worker; beyond it those seen once are forgotten. Results don't depend on it.
+REMEMBERED = 1_000_000
 _SEPARATOR = "\x01"
+#: Punctuation between an ASCII letter and white space is a token group of its own; a space before it changes no id.
+_TAIL = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=[ \t\n\r])")
+_encoders: dict[str, ChunkIds] = {}
 
 
 def default_tokenizer() -> str:
@@ -23,6 +27,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def encoder(path: str) -> ChunkIds:
+    """One encoder for all tasks of a Python worker."""
+    if path not in _encoders:
+        _encoders[path] = ChunkIds(path)
+    return _encoders[path]
+
+
+def chunks_of(text: bytes | None) -> list[bytes]:
+    """Chunks that have the same ids as the text: lower-cased in A-Z, with trailing punctuation apart.
+
+    A special token's name keeps its case; so does a text with combining marks (two bytes from CC or CD),
+    which may compose with a capital but not with its small letter, or the other way round.
+    """
+    if not text:
+        return []
+    if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
+        return text.split()
+    return _TAIL.sub(rb" \1", text.lower()).split()
+
+
 class ChunkIds:
     """ids(texts) gives one array of ids per text, like encoding each text whole without special tokens."""
 
@@ -31,53 +55,54 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        (self.separator,) = self._encode(_SEPARATOR)
-        self._reset()
-
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _reset(self) -> None:
+        (self.separator,) = self._encode(_SEPARATOR).tolist()
         self.at: dict[bytes, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)  # ends[i+1] is where the i-th chunk's ids end
-        self.known = 0
-
-    def _add(self, chunk: bytes, ids: np.ndarray) -> None:
-        i, start = self.known, self.ends[self.known]
-        if i + 2 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while start + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[start : start + len(ids)] = ids
-        self.ends[i + 1] = start + len(ids)
-        self.at[chunk] = i
-        self.known += 1
+        self.flat = np.empty(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)  # ends[i+1] is where the i-th chunk's ids end
+        self.seen = np.zeros(0, np.int32)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.seen > 1)
+        names = list(self.at)
+        length = self.ends[keep + 1] - self.ends[keep]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.ends[keep] - ends[:-1], length)]
+        self.at = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.ends, self.seen = ends, np.ones(len(keep), np.int32)
 
     def _learn(self, chunks: list[bytes]) -> None:
-        plain = [c for c in chunks if b"\x01" not in c]
+        """Encode new chunks, many at once with a separator between them."""
+        odd = [c for c in chunks if b"\x01" in c]
+        plain = [c for c in chunks if b"\x01" not in c] if odd else chunks
+        flats, lengths = [], []
         for i in range(0, len(plain), 1000):
             some = plain[i : i + 1000]
-            ids = np.array(self._encode(f" {_SEPARATOR} ".join(c.decode("utf-8", "replace") for c in some)), np.uint32)
+            ids = self._encode(b" \x01 ".join(some).decode("utf-8", "replace"))
             cuts = np.flatnonzero(ids == self.separator)
-            if len(cuts) != len(some) - 1:
-                for c in some:
-                    self._add(c, np.array(self._encode(c.decode("utf-8", "replace")), np.uint32))
-                continue
-            starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
-            for c, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True):
-                self._add(c, ids[a:b])
-        for c in chunks:
-            if b"\x01" in c:
-                self._add(c, np.array(self._encode(c.decode("utf-8", "replace")), np.uint32))
+            if len(cuts) == len(some) - 1:
+                flats.append(np.delete(ids, cuts))
+                lengths.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+            else:
+                each = [self._encode(c.decode("utf-8", "replace")) for c in some]
+                flats += each
+                lengths.append(np.array(list(map(len, each))))
+        each = [self._encode(c.decode("utf-8", "replace")) for c in odd]
+        lengths.append(np.array(list(map(len, each)), np.int64))
+        self.at.update(zip(plain + odd if odd else plain, range(len(self.at), len(self.at) + len(chunks)), strict=True))
+        self.flat = np.concatenate([self.flat, *flats, *each])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(lengths))])
+        self.seen = np.concatenate([self.seen, np.zeros(len(chunks), np.int32)])
 
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        if self.known > REMEMBERED:
-            self._reset()
+        if len(self.at) > REMEMBERED:
+            self._forget()
         chunks: list[bytes] = []
         counts = []
         for t in texts:
-            own = t.split() if t else []
+            own = chunks_of(t)
             chunks += own
             counts.append(len(own))
         at = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, len(chunks))
@@ -86,6 +111,7 @@ class ChunkIds:
             new = [chunks[i] for i in missing.tolist()]
             self._learn(list(dict.fromkeys(new)))
             at[missing] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
+        np.add.at(self.seen, at, 1)
         begin = self.ends[at]
         length = self.ends[at + 1] - begin
         total = np.concatenate([[0], np.cumsum(length)])

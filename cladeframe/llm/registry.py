@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeframe.llm import decontaminate, langid, packing, pii, quotes, secrets, sharding, simhash
+from cladeframe.llm import decontaminate, langid, packing, pii, quality, quotes, secrets, sharding, simhash
 
 
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op2_quotes": quotes.op2_quotes,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
+    "op9_quality": quality.op9_quality,
     "op10_pii": pii.op10_pii,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_secrets": secrets.op7_secrets,

@@ -128,14 +128,20 @@ def packing_of(assignment: list[int], lengths: list[int], capacity: int) -> Pack
 
 
 def first_population(lengths: list[int], capacity: int, size: int, rng: random.Random) -> list[Packing]:
-    """Best fit in falling order, then in orders that a little noise has changed."""
-    people = []
+    """Best fit in falling order, then in orders that a little noise has changed.
+
+    A packing of as few bins as the lengths' sum allows can't be improved; none is added to it.
+    """
+    people: list[Packing] = []
+    least = -(-sum(lengths) // capacity)
     for k in range(size):
         noise = 0.0 if k == 0 else 0.1 * k
         order = sorted(range(len(lengths)), key=lambda i: -lengths[i] * (1 + noise * rng.random()))
         p = Packing(lengths, capacity)
         p.best_fit(order)
         people.append(p)
+        if len(p.bins) <= least:
+            break
     return people
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeframe.llm import decontaminate, langid, packing, pii, quality, quotes, secrets, sharding, simhash
+from cladeframe.llm import decontaminate, langid, neighbours, packing, pii, quality, quotes, secrets, sharding, simhash
 
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_pii": pii.op10_pii,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_nndescent": neighbours.op6_nndescent,
     "op7_secrets": secrets.op7_secrets,
     "op8_hilbert": sharding.op8_hilbert,
 }

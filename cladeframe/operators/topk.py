@@ -93,11 +93,17 @@ def embedding_tiebreak(queries: DataFrame, members: DataFrame, key: str, vector:
     """Each query's candidate family by mean cosine to its members: the best if it leads by min_delta or is alone.
 
     queries: key, vector, candidates (array of families); members: family, vector. Families without members can't win.
+    The mean cosine to a family is the dot product with the mean of its members' unit vectors, so queries meet one row
+    per candidate family and not its members. Zero vectors count as cosine 0.
     """
-    from cladeframe.functions.exprs import cosine
+    from cladeframe.functions.exprs import dot
 
+    unit = F.posexplode(F.transform(vector, lambda x: F.coalesce(x.cast("double") / F.nullif(F.sqrt(dot(F.col(vector), F.col(vector))), F.lit(0.0)), F.lit(0.0))))
+    parts = members.select(family, unit.alias("_i", "_x")).groupBy(family, "_i").agg(F.avg("_x").alias("_x"))
+    centre = parts.groupBy(family).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda p: p["_x"]).alias("_m"))
+    norm = F.sqrt(dot(F.col("_q"), F.col("_q")))
     asked = queries.select(key, F.col(vector).alias("_q"), F.explode("candidates").alias(family))
-    means = asked.join(members.select(family, F.col(vector).alias("_m")), family).groupBy(key, family).agg(F.avg(cosine(F.col("_q"), F.col("_m"))).alias("similarity"))
+    means = asked.join(centre, family).select(key, family, F.when(norm == 0, F.lit(0.0)).otherwise(dot(F.col("_q"), F.col("_m")) / norm).alias("similarity"))
     two = top_two(means, [key], "similarity", [F.col("similarity").desc(), F.col(family)], [family])
     sure = F.col("second").isNull() | (F.col("similarity") - F.col("second") >= min_delta)
     return two.select(key, F.when(sure, F.col(family)).alias(family), "similarity", "second")

@@ -104,7 +104,7 @@ def regions(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out: list[tuple] = []
-            for first, texts in in_slices(batch.column(1).to_pylist()):
+            for first, texts in in_slices(batch.column(1)):
                 for doc_id, text in zip(ids[first:], texts, strict=False):
                     tokens = token_hashes(text)
                     h, at = windows(tokens)

@@ -29,6 +29,8 @@ REJECT = 0.5
 ENOUGH = 20
 #: Cosine below which a text of a length without fitted rows is rejected.
 BARE = 0.05
+#: Texts vectorised at once: their dense counts take 64 KB each.
+SLICE = 128
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -53,7 +55,7 @@ def gram_counts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     letter = _is_letter()[c]
     keep = letter.copy()
     keep[0] = True
-    keep[1:] |= letter[:-1]
+    keep[1:] |= letter[:-1] | (own[1:] != own[:-1])
     c, own, letter = np.where(letter, c, 0)[keep].astype(np.uint64), own[keep], letter[keep]
     n = len(texts)
     letters = np.bincount(own[letter], minlength=n)
@@ -123,7 +125,7 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CLUSTERS) -> C
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for _, texts in in_slices(batch.column(0).to_pylist()):
+            for _, texts in in_slices(batch.column(0), most=SLICE):
                 counts, _ = gram_counts(texts)
                 total += (counts > 0).sum(axis=0)
                 n += len(texts)
@@ -145,7 +147,7 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CLUSTERS) -> C
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0)
-            for first, texts in in_slices(batch.column(1).to_pylist()):
+            for first, texts in in_slices(batch.column(1), most=SLICE):
                 counts, letters = gram_counts(texts)
                 packed = [(at := np.flatnonzero(row)).astype(np.int32).tobytes() + row[at].astype(np.int32).tobytes() for row in counts]
                 yield pa.RecordBatch.from_arrays([langs.slice(first, len(texts)), pa.array(letters), pa.array(packed, pa.binary())], names=["lang", "letters", "packed"])
@@ -191,7 +193,7 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in in_slices(batch.column(1).to_pylist()):
+            for first, texts in in_slices(batch.column(1), most=SLICE):
                 names, score, rejected = model.predict(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
@@ -216,8 +218,7 @@ def keep_known(docs: DataFrame, model: Centroids | None = None) -> DataFrame:
         for batch in batches:
             at = batch.schema.names.index("text")
             keep = np.zeros(batch.num_rows, bool)
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            for first, some in in_slices(texts):
+            for first, some in in_slices(batch.column(at).cast(pa.binary()), most=SLICE):
                 keep[first : first + len(some)] = ~model.predict(some)[2]
             yield batch.filter(pa.array(keep))
 

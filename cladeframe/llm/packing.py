@@ -48,7 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         words = encoder(path)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, texts in in_slices(batch.column(1).to_pylist()):
+            for first, texts in in_slices(batch.column(1)):
                 out: list[tuple] = []
                 for doc_id, ids in zip(doc_ids[first:], words.ids(texts), strict=False):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")

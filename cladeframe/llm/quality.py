@@ -188,7 +188,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
-            for _, some in in_slices(batch.column(0).to_pylist()):
+            for _, some in in_slices(batch.column(0)):
                 words, stats = described(some)
                 found.update(v.tobytes() for v, w in zip(votes(stats), words, strict=True) if w)
         if found:
@@ -203,7 +203,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, some in in_slices(batch.column(0).to_pylist()):
+            for _, some in in_slices(batch.column(0)):
                 words, stats = described(some)
                 post = labels.posterior(votes(stats))
                 rows = [features(t, w, tuple(s)).astype(np.int32).tobytes() for t, w, s in zip(some, words, stats, strict=True)]
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: Scorer | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in in_slices(batch.column(1).to_pylist()):
+            for first, texts in in_slices(batch.column(1)):
                 posterior, quality = model.score(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(posterior), pa.array(quality), pa.array(quality >= 0.5)], names=["doc_id", "posterior", "quality", "keep"])
 

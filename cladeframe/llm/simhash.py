@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
         for batch in batches:
             doc_ids = batch.column(0)
-            for first, texts in in_slices(batch.column(1).to_pylist()):
+            for first, texts in in_slices(batch.column(1)):
                 hashes: list[int] = []
                 sizes = []
                 for t in texts:

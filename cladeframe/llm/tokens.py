@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks remembered by one Python worker; beyond it those seen once are forgotten. Results don't depend on it.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 _SEPARATOR = "\x01"
 #: Punctuation between an ASCII letter and white space is a token group of its own; a space before it changes no id.
-_TAIL = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=[ \t\n\r])")
+_TAIL = re.compile(rb"([!-&(-/:-@\[-`{-~](?<=[a-z][!-~])[!-&(-/:-@\[-`{-~]*)(?=[ \t\n\r])")
 _encoders: dict[str, ChunkIds] = {}
 
 
@@ -111,7 +114,7 @@ class ChunkIds:
             new = [chunks[i] for i in missing.tolist()]
             self._learn(list(dict.fromkeys(new)))
             at[missing] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
-        np.add.at(self.seen, at, 1)
+        self.seen[at] += 1  # once for a slice, however often it has the chunk
         begin = self.ends[at]
         length = self.ends[at + 1] - begin
         total = np.concatenate([[0], np.cumsum(length)])
@@ -121,14 +124,17 @@ class ChunkIds:
         return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def in_slices(texts: list[bytes | None], limit: int = 1 << 20):
-    """Slices of texts of about limit bytes each, one text at least."""
+def in_slices(column: pa.Array, limit: int = 1 << 20, most: int = 4096) -> Iterator[tuple[int, list[bytes | None]]]:
+    """Slices of a column of texts, with their first row: about limit bytes and at most so many texts; one text at least.
+
+    Only a slice at a time becomes Python objects, so a worker holds a batch once, whatever its texts' lengths.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > limit:
-            yield start, texts[start:i]
+    for i, n in enumerate(sizes):
+        if i > start and (size + n > limit or i - start >= most):
+            yield start, column.slice(start, i - start).to_pylist()
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, texts[start:]
+    if start < len(sizes):
+        yield start, column.slice(start).to_pylist()

@@ -10,7 +10,8 @@ from cladeframe.plans.catalog import query
 from cladeframe.plans.views import GENES, genes, placed, t
 
 MARK = "."
-SHARE = F.length(F.regexp_replace(F.col("seq"), "[^aeiou]", "")).cast("double") / F.length("seq")
+def share():
+    return F.length(F.regexp_replace(F.col("seq"), "[^aeiou]", "")).cast("double") / F.length("seq")
 
 SCANS = f"""{GENES},
 stops AS (SELECT gene, length(rtrim(seq, '.')) - length(replace(rtrim(seq, '.'), '.', '')) AS internal_stops FROM g),
@@ -36,7 +37,7 @@ def evidence(spark, sf_dir):
         E.internal_stops(g, "gene", "seq", MARK),
         E.truncated(lengths, "gene", "family", "length"),
         E.orphan_genes(g, placed(spark, sf_dir), "gene"),
-        E.composition_outliers(g.where(F.length("seq") > 0).withColumn("share", SHARE), "gene", "species", "share"),
+        E.composition_outliers(g.where(F.length("seq") > 0).withColumn("share", share()), "gene", "species", "share"),
     ]
     merged = E.with_score(E.merge(scans, "gene"))
     return merged.join(g.select("gene", "species", "family"), "gene")
@@ -78,7 +79,7 @@ def orphan_anti_join(spark, sf_dir):
 
 @query(f"WITH {SCANS} SELECT gene, round(z, 6) AS zscore FROM zs")
 def composition_zscore(spark, sf_dir):
-    g = genes(spark, sf_dir).where(F.length("seq") > 0).withColumn("share", SHARE)
+    g = genes(spark, sf_dir).where(F.length("seq") > 0).withColumn("share", share())
     return E.composition_outliers(g, "gene", "species", "share").select("gene", F.round("zscore", 6).alias("zscore"))
 
 

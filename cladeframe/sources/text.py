@@ -28,7 +28,7 @@ def lines(spark: SparkSession, path) -> DataFrame:
 
 def whole(spark: SparkSession, path) -> DataFrame:
     """value, file: one row per file, for formats that are one document."""
-    return spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def tabbed(spark: SparkSession, path) -> DataFrame:

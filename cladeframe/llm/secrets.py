@@ -28,19 +28,13 @@ SAMPLE_ROWS = 3000
 #: Share of identifiers of the held-out part that stay below the threshold, and a margin on top.
 QUANTILE, MARGIN = 0.999, 0.1
 WORDS = (
-    "account action address admin agent alpha array async audit batch binary block branch buffer build cache call cell chain change channel check child client "
-    "cloud cluster code column commit common config connection container content context control core count create custom data database date debug default "
-    "delete delta deploy detail device digest directory document domain double driver element email engine entity entry error event example executor export "
-    "factory family feature field file filter final folder format frame function gateway general global graph group handler hash header history host http "
-    "image import index info input instance integer internal item iterator java job join journal kernel key label language layer layout length level library "
-    "license limit line link list local location lock log machine main manager map master member memory message meta method metric middle minor mobile model "
-    "module monitor name network node number object offset operator option order output owner package page panel parameter parent parser partition path "
-    "pattern payload person pipeline plan plugin point policy pool position prefix primary process product profile project property protocol provider proxy "
-    "public query queue random range record region registry release remote report request resource response result return role root route row rule runner "
-    "sample schedule schema scope script search section select sequence server service session setting shard signal simple single size snapshot source spark "
-    "stage standard state static status step storage stream string struct style suffix summary support switch symbol system table target task template test "
-    "text thread time timer topic total trace track transaction tree type update upload user util value vector version view virtual volume wait warehouse "
-    "watch weight window worker write zone"
+    "account address agent array audit binary branch build call chain channel child cloud code commit config container context core create data date "
+    "default delta detail digest document double element engine entry event executor factory feature file final format function general graph handler "
+    "header host image index input integer item java join kernel label layer length library limit link local lock machine manager master memory meta metric "
+    "minor model monitor network number offset option output package panel parent partition pattern person plan point pool prefix process profile property "
+    "provider public queue range region release report resource result role route rule sample schema script section sequence service setting signal single "
+    "snapshot spark standard static step stream struct suffix support symbol table task test thread timer total track tree update user value version "
+    "virtual wait watch window write"
 )
 
 

@@ -8,6 +8,7 @@ from cladeframe.operators import evidence as E
 from cladeframe.operators import sets as S
 from cladeframe.plans.catalog import query
 from cladeframe.plans.views import GENES, genes, placed, t
+from cladeframe.stage import staged
 
 MARK = "."
 def share():
@@ -31,16 +32,17 @@ classed AS (SELECT *, CASE WHEN score >= CAST(0.5 AS DOUBLE) THEN 'pseudogene_hi
 
 
 def evidence(spark, sf_dir):
+    """The texts are read once: what the scanners need of them is a few numbers a gene."""
     g = genes(spark, sf_dir)
-    lengths = g.withColumn("length", F.length("seq"))
+    narrow = staged(g.select("gene", "species", "family", E.inner_count(F.col("seq"), MARK).alias("internal_stops"), F.length("seq").alias("length"), F.when(F.length("seq") > 0, share()).alias("share")), "evidence")
     scans = [
-        E.internal_stops(g, "gene", "seq", MARK),
-        E.truncated(lengths, "gene", "family", "length"),
-        E.orphan_genes(g, placed(spark, sf_dir), "gene"),
-        E.composition_outliers(g.where(F.length("seq") > 0).withColumn("share", share()), "gene", "species", "share"),
+        narrow.where("internal_stops > 0").select("gene", "internal_stops"),
+        E.truncated(narrow, "gene", "family", "length"),
+        E.orphan_genes(narrow, placed(spark, sf_dir), "gene"),
+        E.composition_outliers(narrow, "gene", "species", "share"),
     ]
     merged = E.with_score(E.merge(scans, "gene"))
-    return merged.join(g.select("gene", "species", "family"), "gene")
+    return merged.join(narrow.select("gene", "species", "family"), "gene")
 
 
 @query(f"WITH {SCANS} SELECT gene, species, family, internal_stops, truncated, orphan, round(zscore, 6) AS zscore, round(score, 6) AS score, class FROM classed")

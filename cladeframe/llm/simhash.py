@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.llm.common import by_ids, need, shuffle_partitions, staged
 from cladeframe.llm.components import components
+from cladeframe.llm.shingles import similar_groups
 from cladeframe.llm.tokens import in_slices
 
 WORDS, BITS, SEED = 4, 4, 42
@@ -233,12 +234,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, cell:
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS, similar: float | None = None) -> DataFrame:
     """The rows of docs, all columns, that stand for their group of near duplicates: that of the smallest doc_id, once.
 
-    Rows without a doc_id can't be named and all stay.
+    With similar, groups are linked by at least that exact Jaccard similarity of the sets of shingles instead of by the bits of
+    fingerprints: no bound on 64 bits finds all such pairs. Rows without a doc_id can't be named and all stay.
     """
-    groups = staged(near_duplicates(docs.select("doc_id", "text")), "near-duplicates").where("doc_id IS NOT NULL")
+    texts = docs.select("doc_id", "text")
+    found = near_duplicates(texts, words, bits) if similar is None else similar_groups(texts, words, similar)
+    groups = staged(found, "near-duplicates").where("doc_id IS NOT NULL")
     gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     repeated = staged(groups.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"), "repeated")
     left = by_ids(docs, gone, "left_anti")

@@ -16,7 +16,7 @@ MARKS = r"^(?:[\x20\t]?>)+"
 QUOTING = r"(?m)^[\x20\t]?>"
 #: A line that introduces a quotation: it goes with the quotation.
 ATTRIBUTION = r"(?i)^\x20*(?:on|le|am|el)\b.{3,200}\b(?:wrote|a écrit|schrieb|escribió)\x20*:\x20*$"
-#: Normalised passages shorter than this many characters link nothing.
+#: Normalised passages shorter than this many characters link only within a conversation; elsewhere they'd meet by chance.
 LEAST = 8
 RUNS = "array<struct<level:int,text:string>>"
 
@@ -55,7 +55,7 @@ def passages(text: Column) -> Column:
     """Distinct normalised passages of a text: all of it, its paragraphs, lines and sentences."""
     parts = F.concat(F.array(text), F.split(text, r"\n\s*\n"), F.split(text, r"\n"), F.split(text, r"(?<=[.!?])\s+"))
     plain = F.transform(parts, lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " ")))
-    return F.array_distinct(F.filter(plain, lambda x: F.length(x) >= LEAST))
+    return F.array_distinct(F.filter(plain, lambda x: F.length(x) > 0))
 
 
 def hashes(text: Column) -> Column:
@@ -68,8 +68,8 @@ def linked(messages: DataFrame) -> DataFrame:
 
     The id follows conv_id and turn (then the text, for rows that share both). A quoted passage's original
     is the first message that wrote it itself, in the quoting message's conversation if one did, else anywhere,
-    and always an earlier one; of a message's passages the one of the outermost level, then in the same
-    conversation, then the longest decides. Else the parent is the turn before; the first turn has none. how: quote, turn or first.
+    and always an earlier one; passages of under LEAST characters are sought in the same conversation only. Of a message's
+    passages the one of the outermost level, then of LEAST characters or more, then in the same conversation, then the longest decides. Else the parent is the turn before; the first turn has none. how: quote, turn or first.
     """
     need(messages, "conv_id", "turn", "role", "text")
     spark = messages.sparkSession
@@ -91,15 +91,15 @@ def linked(messages: DataFrame) -> DataFrame:
     asked = staged(asked.select("id", "conv_id", "level", "p.h", "p.g", "p.length"), "asked")
     wanted = staged(asked.select("h").distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    told = split.select("id", "conv_id", F.explode(hashes(F.col("body"))).alias("p")).select("id", "conv_id", "p.h", "p.g")
+    told = split.select("id", "conv_id", F.explode(hashes(F.col("body"))).alias("p")).select("id", "conv_id", "p.h", "p.g", "p.length")
     # Only passages that someone quotes are kept; each has one row a conversation at most.
     told = told.join(F.broadcast(wanted) if few else wanted, "h", "left_semi")
-    near = staged(told.groupBy("conv_id", "h", "g").agg(F.min("id").alias("near")), "originals")
-    far = staged(near.groupBy("h", "g").agg(F.min("near").alias("far")), "first-originals")
-    met = asked.join(near, ["conv_id", "h", "g"], "left").join(far, ["h", "g"], "left")
+    near = staged(told.groupBy("conv_id", "h", "g").agg(F.min("id").alias("near"), F.max("length").alias("length")), "originals")
+    far = staged(near.where(F.col("length") >= LEAST).groupBy("h", "g").agg(F.min("near").alias("far")), "first-originals")
+    met = asked.join(near.drop("length"), ["conv_id", "h", "g"], "left").join(far, ["h", "g"], "left")
     here = F.col("near") < F.col("id")
     met = met.withColumn("same", F.coalesce(here, F.lit(False)).cast("int")).withColumn("parent", F.when(here, F.col("near")).when(F.col("far") < F.col("id"), F.col("far")))
-    best = F.max_by("parent", F.struct(-F.col("level"), F.col("same"), F.col("length"), -F.col("parent")))
+    best = F.max_by("parent", F.struct(-F.col("level"), F.col("length") >= LEAST, F.col("same"), F.col("length"), -F.col("parent")))
     found = met.where("parent IS NOT NULL").groupBy("id").agg(best.alias("quoted"))
     before = split.select((F.col("id") + 1).alias("id"), F.col("conv_id").alias("_conv"), F.col("id").alias("_before"))
     out = split.join(found, "id", "left").join(before, "id", "left")

@@ -37,3 +37,21 @@ def test_empty_and_long(spark):
     deep = [(9, i, "user", f"> message number {i - 1} of this talk\nmessage number {i} of this talk") for i in range(70)]
     rows = Q.conversations(spark.createDataFrame(deep, "conv_id long, turn long, role string, text string")).collect()
     assert sorted(r.depth for r in rows) == list(range(70))
+
+
+def test_short_quotations_link_within_their_conversation(spark):
+    told = [
+        (1, 0, "user", "Yes."),
+        (1, 1, "assistant", "我们明天见面吧。"),
+        (1, 2, "user", "Something else altogether."),
+        (1, 3, "assistant", "> Yes.\nGood."),
+        (1, 4, "user", "> 我们明天见面吧。\nAt noon."),
+        (2, 0, "user", "Another start."),
+        (2, 1, "assistant", "> Yes.\nNobody here said so."),
+        (2, 2, "user", "Agreed"),
+        (2, 3, "assistant", "> Something else altogether. Agreed\nThe long passage decides."),
+    ]
+    rows = Q.conversations(spark.createDataFrame(told, "conv_id long, turn long, role string, text string")).collect()
+    link = {(r.conv_id, r.turn): (r.how, r.parent_conv, r.parent_turn) for r in rows}
+    assert link[1, 3] == ("quote", 1, 0) and link[1, 4] == ("quote", 1, 1)
+    assert link[2, 1] == ("turn", 2, 0) and link[2, 3] == ("quote", 1, 2)

@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.llm.common import need, shuffle_partitions, staged
-from cladeframe.llm.tokens import default_tokenizer, encoder, in_slices
+from cladeframe.llm.tokens import default_tokenizer, encoder, slices
 
 CAPACITY = 4096
 END_ID = 1
+#: Bytes of text that a worker tokenises at once.
+TEXT_BYTES = 8 << 20
 #: Pieces in a group, on average.
 GROUP = 4096
 ISLANDS = 2
@@ -48,7 +50,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         words = encoder(path)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, texts in in_slices(batch.column(1)):
+            for first, texts in slices(batch.column(1), TEXT_BYTES):
                 out: list[tuple] = []
                 for doc_id, ids in zip(doc_ids[first:], words.ids(texts), strict=False):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
@@ -128,54 +130,46 @@ def packing_of(assignment: list[int], lengths: list[int], capacity: int) -> Pack
 
 
 def first_population(lengths: list[int], capacity: int, size: int, rng: random.Random) -> list[Packing]:
-    """Best fit in falling order, then in orders that a little noise has changed.
-
-    A packing of as few bins as the lengths' sum allows can't be improved; none is added to it.
-    """
+    """Best fit in falling order, then in orders that a little noise has changed."""
     people: list[Packing] = []
-    least = -(-sum(lengths) // capacity)
     for k in range(size):
         noise = 0.0 if k == 0 else 0.1 * k
         order = sorted(range(len(lengths)), key=lambda i: -lengths[i] * (1 + noise * rng.random()))
         p = Packing(lengths, capacity)
         p.best_fit(order)
         people.append(p)
-        if len(p.bins) <= least:
-            break
     return people
 
 
 def crossover(into: Packing, donor: Packing, rng: random.Random) -> Packing:
-    """A child of into that holds some well-filled bins of donor whole."""
-    full = sorted(range(len(donor.bins)), key=lambda b: donor.room[b])
+    """A child of into that holds some well-filled bins of donor whole.
+
+    Bins of into that hold one of their documents are opened, and so are its loosest ones; the documents thus
+    displaced are best-fitted, the longest first.
+    """
+    full = sorted(range(len(donor.bins)), key=donor.room.__getitem__)
     full = full[: max(1, len(full) // 2)]
     some = rng.sample(full, max(1, len(full) // 3))
-    injected = [donor.bins[b] for b in some]
-    held = {i for b in injected for i in b}
-    kept, displaced = [], []
-    for b in into.bins:
-        if held.isdisjoint(b):
-            kept.append(b)
-        else:
-            displaced += [i for i in b if i not in held]
+    held = {i for b in some for i in donor.bins[b]}
+    loosest = set(sorted(range(len(into.bins)), key=into.room.__getitem__, reverse=True)[: rng.randint(1, 4)])
     child = Packing(into.lengths, into.capacity)
-    child.copy_bins(injected + kept)
-    loosest = sorted(range(len(injected), len(child.bins)), key=lambda b: -child.room[b])[: rng.randint(1, 4)]
-    gone = set(loosest)
-    displaced += [i for b in loosest for i in child.bins[b]]
-    child.copy_bins([b for k, b in enumerate(child.bins) if k not in gone])
+    child.bins = [list(donor.bins[b]) for b in some]
+    child.room = [donor.room[b] for b in some]
+    displaced = []
+    for b, items in enumerate(into.bins):
+        if b not in loosest and held.isdisjoint(items):
+            child.bins.append(list(items))
+            child.room.append(into.room[b])
+        else:
+            displaced += [i for i in items if i not in held]
     child.best_fit(sorted(displaced, key=lambda i: -child.lengths[i]))
     return child
 
 
 def evolve(people: list[Packing], generations: int, rng: random.Random) -> list[Packing]:
-    """Replace the worst by children; ends early once no packing can have fewer bins."""
-    lengths, capacity = people[0].lengths, people[0].capacity
-    least = -(-sum(lengths) // capacity)
+    """So many generations; in each, the best of parents and children stay. The best packing never gets worse."""
     people = sorted(people, key=Packing.worth, reverse=True)
     for _ in range(generations):
-        if len(people[0].bins) <= least:
-            break
         children = []
         for _ in range(max(1, len(people) // 2)):
             a, b = rng.sample(people, 2) if len(people) > 1 else (people[0], people[0])
@@ -185,51 +179,60 @@ def evolve(people: list[Packing], generations: int, rng: random.Random) -> list[
 
 
 ISLAND_SCHEMA = "grp long, island int, lengths array<int>, people array<array<int>>"
+PACKED_SCHEMA = "mid long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, opened boolean"
 
 
-def _island_round(capacity: int, number: int, generations: int, population: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for grp, island, lengths, people in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                rng = random.Random(f"{grp}/{island}/{number}")
-                if people:
-                    live = [packing_of(p, lengths, capacity) for p in people]
-                else:
-                    live = first_population(lengths, capacity, population, rng)
-                live = evolve(live, generations, rng)[:population]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([grp], pa.int64()), pa.array([island], pa.int32()), pa.array([lengths], pa.list_(pa.int32())), pa.array([[p.assignment() for p in live]], pa.list_(pa.list_(pa.int32())))],
-                    names=["grp", "island", "lengths", "people"],
-                )
+def _island_round(capacity: int, number: int, islands: int, generations: int, population: int, last: bool):
+    """One island's round: its own row, and from the second round on the best packing of the island before it."""
 
-    return run
+    def run(table: pa.Table) -> pa.Table:
+        grp, island = table.column("grp")[0].as_py(), table.column("island")[0].as_py()
+        rng = random.Random(f"{grp}/{island}/{number}")
+        rows = sorted(zip(table.column("lengths").to_pylist(), table.column("people").to_pylist(), strict=True), key=lambda r: r[0] is None)
+        lengths = rows[0][0]
+        people = [packing_of(p, lengths, capacity) for _, some in rows for p in some]
+        best = evolve(people or first_population(lengths, capacity, population, rng), generations, rng)
+        elite = [best[0].assignment()]
+        if last:
+            out = [(grp, island, None, elite)]
+        else:
+            out = [(grp, island, lengths, [p.assignment() for p in best[:population]]), (grp, (island + 1) % islands, None, elite)]
+        types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["grp", "island", "lengths", "people"])
 
+    return run
 
-def _settle(capacity: int, loose: float):
-    """The best packing of a group's islands: for each item its bin, its offset there, and if the bin is loose."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for grp, lengths, elites in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                best = max((packing_of(e, lengths, capacity) for e in elites), key=Packing.worth)
-                n = len(lengths)
-                bins, offsets, opened = [0] * n, [0] * n, [False] * n
-                for b, items in enumerate(best.bins):
-                    at = 0
-                    slack = capacity - best.room[b] < loose * capacity
-                    for i in items:
-                        bins[i], offsets[i], opened[i] = b, at, slack
-                        at += lengths[i]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([grp], pa.int64()), pa.array([bins], pa.list_(pa.int64())), pa.array([offsets], pa.list_(pa.int64())), pa.array([opened], pa.list_(pa.bool_()))],
-                    names=["grp", "bins", "offsets", "opened"],
-                )
+def _settle(capacity: int, loose: float, level: int):
+    """A group's pieces with their places in the best packing of its islands, and whether their bin is loose."""
+
+    def run(table: pa.Table) -> pa.Table:
+        at = next(i for i, row in enumerate(table.column("items")) if row.is_valid)
+        items = table.column("items")[at].values
+        lengths = items.field("length").to_pylist()
+        elites = [e for e in table.column("elite").to_pylist() if e is not None]
+        best = max((packing_of(e, lengths, capacity) for e in elites), key=Packing.worth)
+        n = len(lengths)
+        bins, offsets, opened = [0] * n, [0] * n, [False] * n
+        for b, own in enumerate(best.bins):
+            place = 0
+            slack = capacity - best.room[b] < loose * capacity
+            for i in own:
+                bins[i], offsets[i], opened[i] = b, place, slack
+                place += lengths[i]
+        base = (level << 56) + (table.column("grp")[0].as_py() << 24)
+        names = ["mid", "doc_id", "piece", "start", "length", "ids_crc32"]
+        return pa.table(
+            [*(items.field(x) for x in names), pa.array(np.array(bins, np.int64) + base), pa.array(offsets, pa.int64()), pa.array(opened, pa.bool_())],
+            names=[*names, "sequence_id", "offset", "opened"],
+        )
 
     return run
 
 
 def _pack_level(pieces: DataFrame, groups: int, level: int, capacity: int, islands: int, rounds: int, generations: int, population: int) -> DataFrame:
     spark = pieces.sparkSession
+    # Fixed counts of partitions: the rows are few and small, their work is not.
     tasks = max(1, min(groups * islands, 4 * shuffle_partitions(spark)))
     one = F.struct((-F.col("length")).alias("order"), "mid", "doc_id", "piece", "start", "length", "ids_crc32")
     # mid numbers rows, so groups are of near equal size whatever the documents hold.
@@ -240,20 +243,14 @@ def _pack_level(pieces: DataFrame, groups: int, level: int, capacity: int, islan
     lengths = F.transform("items", lambda x: x["length"].cast("int"))
     state = grouped.select("grp", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), lengths.alias("lengths"), F.array().cast("array<array<int>>").alias("people"))
     for number in range(rounds):
-        # A fixed count of partitions: the rows are few and small, their work is not.
-        live = state.repartition(tasks, "grp", "island").mapInArrow(_island_round(capacity, number, generations, population), ISLAND_SCHEMA)
-        met = live.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("island", "people"))).alias("all"), F.first("lengths").alias("lengths"))
-        if number < rounds - 1:
-            # The best of island i joins island i+1.
-            sender = F.element_at("all", F.when(F.col("at") == 0, F.lit(islands)).otherwise(F.col("at")))
-            state = met.select("grp", "lengths", "all", F.posexplode("all").alias("at", "own")).select(
-                "grp", F.col("own.island").alias("island"), "lengths", F.concat(F.col("own.people"), F.slice(sender["people"], 1, 1)).alias("people")
-            )
-    elites = met.select("grp", "lengths", F.transform("all", lambda x: F.element_at(x["people"], 1)).alias("elites"))
-    settled = elites.repartition(tasks, "grp").mapInArrow(_settle(capacity, LOOSE), "grp long, bins array<long>, offsets array<long>, opened array<boolean>")
-    rows = grouped.join(settled, "grp").select("grp", F.inline(F.arrays_zip("items", "bins", "offsets", "opened")))
-    base = F.shiftleft(F.lit(level).cast("long"), 56) + F.shiftleft(F.col("grp"), 24)
-    return rows.select("items.mid", "items.doc_id", "items.piece", "items.start", "items.length", "items.ids_crc32", (base + F.col("bins")).alias("sequence_id"), F.col("offsets").alias("offset"), "opened")
+        # One exchange a round: an island meets its own packings and the best of the island before it.
+        turn = _island_round(capacity, number, islands, generations, population, number == rounds - 1)
+        state = state.repartition(tasks, "grp", "island").groupBy("grp", "island").applyInArrow(turn, ISLAND_SCHEMA)
+    items = grouped.schema["items"].dataType
+    elites = state.select("grp", F.lit(None).cast(items).alias("items"), F.element_at("people", 1).alias("elite"))
+    both = grouped.select("grp", "items", F.lit(None).cast("array<int>").alias("elite")).unionByName(elites)
+    tasks = max(1, min(groups, 4 * shuffle_partitions(spark)))
+    return both.repartition(tasks, "grp").groupBy("grp").applyInArrow(_settle(capacity, LOOSE, level), PACKED_SCHEMA)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, rounds: int = ROUNDS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:

@@ -59,9 +59,34 @@ def test_crossover_keeps_every_item_once():
     for _ in range(20):
         child = P.crossover(people[0], people[-1], r)
         assert sorted(i for b in child.bins for i in b) == list(range(300))
-        assert all(sum(lengths[i] for i in b) <= 128 for b in child.bins)
-    best = P.evolve(people, 10, r)
-    assert len(best[0].bins) <= min(len(p.bins) for p in people)
+        assert child.room == [128 - sum(lengths[i] for i in b) for b in child.bins]
+        assert min(child.room) >= 0
+
+
+def test_generations_beat_best_fit_and_never_lose_to_it():
+    better = 0
+    for seed in range(20):
+        r = random.Random(seed)
+        lengths = [r.randint(20, 60) for _ in range(120)]
+        first = P.first_population(lengths, 128, P.POPULATION, random.Random(seed))
+        best = P.evolve(first, 40, random.Random(seed))[0]
+        assert best.worth() >= first[0].worth()
+        better += len(best.bins) < len(first[0].bins)
+    assert better >= 3
+
+
+def test_every_group_crosses_over(monkeypatch):
+    """Also where best fit already needs no more bins than the lengths' sum allows."""
+    count = []
+    real = P.crossover
+    monkeypatch.setattr(P, "crossover", lambda *a: count.append(1) or real(*a))
+    start = P.pa.table({"grp": [7], "island": P.pa.array([0], "int32"), "lengths": [[1] * 50], "people": P.pa.array([[]], P.pa.list_(P.pa.list_(P.pa.int32())))})
+    out = P._island_round(10, 0, 2, 3, 5, False)(start)
+    assert len(count) == 6
+    assert out.column("island").to_pylist() == [0, 1]  # itself, and its best for the next island
+    met = P._island_round(10, 1, 2, 3, 5, True)(out.set_column(1, "island", P.pa.array([1, 1], "int32")))
+    assert len(count) > 6
+    assert len(set(met.column("people").to_pylist()[0][0])) == 5
 
 
 def test_no_documents(no_docs):

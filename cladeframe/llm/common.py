@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeframe.stage import shared_dir, staged
+
+__all__ = ["by_ids", "fresh", "global_index", "need", "shared_dir", "shuffle_partitions", "staged", "table"]
+
 NO_COLUMNS = "table lacks the columns "
 
 
@@ -15,42 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset (tests on one machine) a temporary folder takes its place.
-    """
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = sc.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="cladeframe-")
-        sc.setCheckpointDir(where)
-    return where
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it again.
-
-    This cuts the lineage: what was computed survives a lost executor, and non-deterministic columns
-    (row numbers, tasks' order) are fixed from here on. The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def need(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(NO_COLUMNS + ", ".join(missing))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column: columns of ours never replace the caller's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

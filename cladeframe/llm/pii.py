@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.llm import spans as S
-from cladeframe.llm.common import need
+from cladeframe.llm.common import fresh, need
 
 KINDS = ("email", "ip", "card", "phone", "model")
 
@@ -96,23 +96,28 @@ def candidates(text: Column) -> Column:
     return F.concat(*lists).cast(CANDIDATES)
 
 
-def features(text: Column, c: Column) -> dict[str, Column]:
-    """Small integers that describe a candidate's format and what stands around it."""
-    before = F.substring(text, F.greatest(c["s"] - CONTEXT, F.lit(0)) + 1, F.least(c["s"], F.lit(CONTEXT)))
-    after = F.substring(text, c["e"] + 1, 1)
-    d = digits_of(c["m"])
-    cues = {f"cue{k}": before.rlike(cue).cast("int") for k, cue in enumerate(CUES)}
-    return {
-        "generator": c["g"],
-        "digits": F.least(F.length(d), F.lit(31)),
-        "letters": F.least(F.length(F.regexp_replace(c["m"], "[^A-Za-z]", "")), F.lit(63)),
-        "length": F.least(F.length(c["m"]), F.lit(63)),
-        "separators": F.least(F.length(F.regexp_replace(c["m"], "[A-Za-z0-9]", "")), F.lit(15)),
-        "luhn": F.when(F.length(d) >= 12, luhn(d).cast("int")).otherwise(F.lit(0)),
-        "after_word": after.rlike("[A-Za-z0-9]").cast("int"),
-        "before_word": before.rlike("[A-Za-z0-9#/=_]$").cast("int"),
-        **cues,
-    }
+def features(of: Column, c: Column) -> Column:
+    """A struct of small integers that describe a candidate's format and what stands around it; of: the text's blocks."""
+    before = S.part(of, F.greatest(c["s"] - CONTEXT, F.lit(0)), F.least(c["s"], F.lit(CONTEXT)))
+    after = S.part(of, c["e"], F.lit(1))
+    shown = F.struct(before.alias("before"), digits_of(c["m"]).alias("digits"))
+
+    def described(x: Column) -> Column:
+        d = x["digits"]
+        cols = {
+            "generator": c["g"],
+            "digits": F.least(F.length(d), F.lit(31)),
+            "letters": F.least(F.length(F.regexp_replace(c["m"], "[^A-Za-z]", "")), F.lit(63)),
+            "length": F.least(F.length(c["m"]), F.lit(63)),
+            "separators": F.least(F.length(F.regexp_replace(c["m"], "[A-Za-z0-9]", "")), F.lit(15)),
+            "luhn": F.when(F.length(d) >= 12, luhn(d).cast("int")).otherwise(F.lit(0)),
+            "after_word": after.rlike("[A-Za-z0-9]").cast("int"),
+            "before_word": x["before"].rlike("[A-Za-z0-9#/=_]$").cast("int"),
+            **{f"cue{k}": x["before"].rlike(cue).cast("int") for k, cue in enumerate(CUES)},
+        }
+        return F.struct(*[cols[n].cast("int").alias(n) for n in FEATURES])
+
+    return S.let(shown, described)
 
 
 def labelled_sample(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -171,8 +176,8 @@ class Boosted:
             total += t
         return total
 
-    def column(self, f: dict[str, Column]) -> Column:
-        """The calibrated probability as an expression."""
+    def column(self, f: Column) -> Column:
+        """The calibrated probability as an expression of a struct of features."""
 
         def walk(t) -> Column:
             if not isinstance(t, tuple):
@@ -226,7 +231,7 @@ def train(sample: DataFrame, trees: int = TREES, depth: int = DEPTH, precision:
     shared = F.greatest(F.lit(0), F.least(c["e"], F.col("e")) - F.greatest(c["s"], F.col("s")))
     is_one = ((F.col("label") == 1) & (2 * shared >= c["e"] - c["s"])).cast("int")
     held = F.pmod(F.xxhash64("text"), F.lit(3)) == 0
-    counted = rows.select(held.alias("held"), is_one.alias("y"), *[col.cast("int").alias(n) for n, col in features(text, c).items()]).groupBy("held", "y", *FEATURES).count()
+    counted = rows.select(held.alias("held"), is_one.alias("y"), features(S.blocks(text), c).alias("f")).select("held", "y", "f.*").groupBy("held", "y", *FEATURES).count()
     vectors = [(r["held"], r["y"], tuple(r[n] for n in FEATURES), r["count"]) for r in counted.collect()]
     fit: dict[tuple, list[float]] = {}
     for h, y, x, n in sorted(vectors):
@@ -267,34 +272,52 @@ def train(sample: DataFrame, trees: int = TREES, depth: int = DEPTH, precision:
     return model
 
 
+def model_spans(text: Column, proposed: Column, base: Column, model: Boosted) -> Column:
+    """The candidates clear of base spans that reach the threshold; those that overlap make one span."""
+
+    def kept(of: Column) -> Column:
+        seen = F.transform(S.without_overlap(proposed, base), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), features(of, c).alias("f")))
+        return F.filter(seen, lambda x: model.column(x["f"]) >= model.threshold)
+
+    found = S.runs(S.in_order(S.of_kind(S.let(S.blocks(text), kept), "model", 4)))
+    return F.when(F.size(proposed) > 0, found).otherwise(F.array().cast(S.SPANS))
+
+
 def scan(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     """docs with two more columns: pii_base (spans of the base patterns) and pii_spans (those and the model's), in order.
 
-    Null and empty texts have no spans; a candidate under the threshold or overlapping a base span is
-    dropped, as is one that overlaps an earlier kept candidate. Texts are scanned whole, without a shuffle.
+    Null and empty texts have no spans; a candidate under the threshold or overlapping a base span is dropped, and
+    kept candidates that overlap make one span. Texts are scanned whole, without a shuffle, in time that grows with
+    n log n of their matches. A table that has columns of these two names already is refused.
     """
     need(docs, "text")
+    clash = {"pii_base", "pii_spans"} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError("table has columns of the result's names: " + ", ".join(sorted(clash)))
+    return _scanned(docs, model, "pii_base", "pii_spans")
+
+
+def _scanned(docs: DataFrame, model: Boosted | None, base: str, spans: str) -> DataFrame:
     model = model or train(labelled_sample(docs.sparkSession))
-    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    text = F.col("_text")
-    rows = rows.withColumns({"pii_base": base_spans(text), "_proposed": candidates(text)})
-    # A candidate meets the trees only if no base span covers it.
-    free = S.without_overlap(F.col("_proposed"), F.col("pii_base"))
-    rows = rows.withColumn("_free", F.when(F.size("_proposed") > 0, free).otherwise(F.col("_proposed")))
-    good = F.filter("_free", lambda c: model.column(features(text, c)) >= model.threshold)
-    rows = rows.withColumn("_good", good)
-    extra = S.disjoint(S.in_order(S.of_kind(F.col("_good"), "model", 4)))
-    return rows.withColumn("pii_spans", S.in_order(F.col("pii_base"), extra)).drop("_text", "_proposed", "_free", "_good")
+    text, proposed = fresh(docs, "text_"), fresh(docs, "proposed_")
+    rows = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = rows.withColumns({base: base_spans(F.col(text)), proposed: candidates(F.col(text))})
+    extra = model_spans(F.col(text), F.col(proposed), F.col(base), model)
+    return rows.withColumn(spans, S.in_order(F.col(base), extra)).drop(text, proposed)
 
 
 def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
-    """docs with personal data in text replaced by its kind; null texts stay null, n_chars follows."""
-    found = scan(docs, model)
-    out = found.withColumn("text", S.redacted(F.col("text"), F.col("pii_spans"))).drop("pii_base", "pii_spans")
+    """docs with personal data in text replaced by its kind; null texts stay null, n_chars follows. All other columns stay."""
+    need(docs, "text")
+    base, spans = fresh(docs, "base_"), fresh(docs, "spans_")
+    found = _scanned(docs, model, base, spans)
+    out = found.withColumn("text", S.redacted(F.col("text"), F.col(spans))).drop(base, spans)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans of every document, and all spans. Null and empty texts have none;
+    repeated rows are returned each; an empty table gives no row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = scan(docs)
     base = F.col("pii_base")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.llm.common import BROADCAST_IDS, global_index, need, staged
+from cladeframe.llm.spans import let
 
 MARKS = r"^(?:[\x20\t]?>)+"
 QUOTING = r"(?m)^[\x20\t]?>"
@@ -31,18 +32,21 @@ def parsed_lines(text: Column) -> Column:
 
 def quoted_runs(lines: Column) -> Column:
     """Successive lines of one level above 0, put together."""
-    start = F.struct(F.lit(0).alias("level"), F.array().cast("array<string>").alias("held"), F.array().cast(RUNS).alias("out"))
 
-    def flushed(acc: Column) -> Column:
-        one = F.array(F.struct(acc["level"].alias("level"), F.array_join(acc["held"], "\n").alias("text")))
-        return F.when(acc["level"] > 0, F.concat(acc["out"], one)).otherwise(acc["out"])
+    def cut(own: Column) -> Column:
+        n = F.size(own)
+        level = lambda i: F.element_at(own, i)["level"]
+        begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (level(i) != level(F.greatest(i - 1, F.lit(1)))))
 
-    def step(acc: Column, x: Column) -> Column:
-        more = F.struct(acc["level"].alias("level"), F.concat(acc["held"], F.array(x["text"])).alias("held"), acc["out"].alias("out"))
-        fresh = F.struct(x["level"].alias("level"), F.array(x["text"]).alias("held"), flushed(acc).alias("out"))
-        return F.when(acc["level"] == x["level"], more).otherwise(fresh)
+        def joined(b: Column) -> Column:
+            ends = F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(n + 1))
+            texts = lambda i, j: F.array_join(F.transform(F.slice(own, i, j - i), lambda x: x["text"]), "\n")
+            runs = F.zip_with(b, ends, lambda i, j: F.when(level(i) > 0, F.struct(level(i).alias("level"), texts(i, j).alias("text"))))
+            return F.filter(runs, lambda r: r.isNotNull())
 
-    return F.aggregate(lines, start, step, flushed)
+        return let(begins, joined)
+
+    return F.when(F.size(lines) > 0, let(lines, cut)).otherwise(F.array().cast(RUNS))
 
 
 def own_words(lines: Column) -> Column:
@@ -141,4 +145,5 @@ def conversations(messages: DataFrame) -> DataFrame:
 
 
 def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with its parent, order and text without quotes; nulls, ties and repeated rows as in conversations()."""
     return conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

@@ -127,6 +127,8 @@ def scan(docs: DataFrame, sample: DataFrame | None = None) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans of every document, and all spans. Null and empty texts have none;
+    repeated rows are returned each; an empty table gives no row."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.col("base")
     return found.select(

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from cladeframe.llm import pii, secrets
@@ -88,3 +90,52 @@ def test_redaction(spark, docs):
     assert out[1].text == "write to <email> or <phone> now" and out[1].n_chars == len(out[1].text)
     assert out[2].text is None and out[3].text == "clean é text"
     assert pii.redact(docs).columns == docs.columns and pii.redact(docs.limit(0)).count() == 0 and secrets.scan(docs.limit(0)).count() == 0
+
+
+def overlap(a, b):
+    return a[0] < b[1] and b[0] < a[1]
+
+
+def test_overlaps_and_runs_against_brute_force(spark):
+    r = random.Random(5)
+    spans = lambda n: sorted((s, s + r.randint(1, 9)) for s in (r.randrange(60) for _ in range(r.randint(0, n))))
+    rows = [(i, spans(9), spans(6)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, c array<struct<s:int,e:int>>, b array<struct<s:int,e:int>>")
+    typed = F.transform("c", lambda x: F.struct(x["s"].alias("s"), F.lit(0).alias("k"), x["e"].alias("e"), F.lit("x").alias("kind")))
+    out = df.select("i", S.without_overlap(F.col("c"), F.col("b")).alias("free"), S.runs(typed).alias("runs")).collect()
+    for got, (_, cs, bs) in zip(sorted(out), rows, strict=True):
+        assert sorted((x.s, x.e) for x in got.free) == [c for c in cs if not any(overlap(c, b) for b in bs)]
+        want = []
+        for s, e in cs:
+            if want and s < want[-1][1]:
+                want[-1][1] = max(want[-1][1], e)
+            else:
+                want.append([s, e])
+        assert [[x.s, x.e] for x in got.runs] == want
+
+
+def seconds(df):
+    start = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
+def test_texts_dense_in_matches_take_time_in_proportion(spark):
+    one = "a.b@example.com 312-555-0188 password=abcdefgh12 "
+    model = pii.train(pii.labelled_sample(spark))
+
+    def took(n):
+        df = spark.createDataFrame([(1, one * n, 1)], "doc_id long, text string, n_chars long")
+        return seconds(pii.redact(df, model)), seconds(secrets.scan(df))
+
+    took(500)
+    few, many = took(6000), took(24000)
+    assert all(b < 8 * a + 2 for a, b in zip(few, many, strict=True)), (few, many)
+
+
+def test_columns_of_the_caller_stay(spark):
+    df = spark.createDataFrame([(1, "to a.b@example.com", "mine", "his")], "doc_id long, text string, text_ string, Base_ string")
+    row = pii.redact(df).collect()[0]
+    assert (row.text, row.text_, row.Base_) == ("to <email>", "mine", "his")
+    with pytest.raises(ValueError, match="pii_base"):
+        pii.scan(df.withColumn("pii_base", F.lit(1)))

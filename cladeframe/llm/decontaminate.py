@@ -21,6 +21,8 @@ from cladeframe.llm.tokens import in_slices
 #: Positions in a window that count; each mask takes five tokens.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7))
 SPAN = max(m[-1] for m in MASKS) + 1
+#: Items of fewer tokens than this have masks of their own, as a changed word may spoil all of those above.
+SHORT = 7
 #: Tokens that must be aligned (or the whole item, if it is shorter), and the share of them that must be equal.
 OVERLAP, SIMILARITY = 13, 0.8
 #: Tokens kept around a hit: an overlap that holds the hit lies within.
@@ -45,14 +47,23 @@ def token_hashes(text: bytes | None) -> np.ndarray:
     return np.array([digest(w) for w in words], np.uint64)
 
 
-def windows(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all masked windows, and where each starts. A text shorter than a mask has none by it."""
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """For items of n < SHORT tokens: all of them, or, where one may differ within the similarity, all but one."""
+    every = tuple(range(n))
+    return [every] if n - 1 < SIMILARITY * n else [every[:gap] + every[gap + 1 :] for gap in range(n)]
+
+
+def windows(tokens: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all masked windows, and where each starts. A text shorter than a mask has none by it.
+
+    short: the lengths of short items whose masks are used besides.
+    """
     found, at = [], []
-    for k, mask in enumerate(MASKS):
+    for k, mask in [*enumerate(MASKS), *((16 * n + g, m) for n in short for g, m in enumerate(short_masks(n)))]:
         n = len(tokens) - mask[-1]
         if n > 0:
             h = np.full(n, (k + 1) * 0x5851F42D4C957F2D & (2**64 - 1), np.uint64)
-            for m, offset in zip(_MULTIPLIER, mask, strict=True):
+            for m, offset in zip(_MULTIPLIER, mask, strict=False):
                 h = (h ^ (tokens[offset : offset + n] * m)) * np.uint64(0x94D049BB133111EB)
                 h ^= h >> np.uint64(29)
             found.append(h)
@@ -63,13 +74,13 @@ def windows(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, tokens, hashes, at of every item. Items of fewer than five words have no window and can't be found."""
+    """item_id, tokens, hashes, at of every item. Null texts and items without a word have no window."""
     need(benchmark, "item_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = [token_hashes(t) for t in batch.column(1).to_pylist()]
-            pairs = [windows(t) for t in tokens]
+            pairs = [windows(t, (len(t),) if 0 < len(t) < SHORT else ()) for t in tokens]
             longs = lambda xs: pa.array([x.astype(np.int64) for x in xs], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), longs([t.view(np.int64) for t in tokens]), longs([h.view(np.int64) for h, _ in pairs]), longs([a for _, a in pairs])], names=["item_id", "tokens", "hashes", "at"])
 
@@ -95,7 +106,7 @@ def bit_set(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def regions(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def regions(docs: DataFrame, bits: np.ndarray, short: tuple[int, ...] = ()) -> DataFrame:
     """Stretches of documents around windows whose hash may be the benchmark's: doc_id, start, tokens, hashes, at.
 
     Hits closer than two margins share a stretch; at counts from the stretch's first token.
@@ -109,7 +120,7 @@ def regions(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             for first, texts in in_slices(batch.column(1)):
                 for doc_id, text in zip(ids[first:], texts, strict=False):
                     tokens = token_hashes(text)
-                    h, at = windows(tokens)
+                    h, at = windows(tokens, short)
                     hit = np.flatnonzero(known[h >> np.uint64(64 - FILTER)])
                     hit = hit[known[(h[hit] * _SECOND) >> np.uint64(64 - FILTER)]]
                     if not len(hit):
@@ -150,14 +161,16 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, in
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end (document tokens), similarity: one row per verified overlap.
 
-    Null and empty texts have none. Repeated documents or items give their rows each. Empty tables give an
+    An item of fewer than OVERLAP tokens must be met whole, but for the share of tokens that may differ. Null and empty texts have none. Repeated documents or items give their rows each. Empty tables give an
     empty result. Other columns are ignored. Documents' texts aren't shuffled.
     """
     need(docs, "doc_id", "text")
     items = staged(benchmark_windows(benchmark), "benchmark-windows").withColumn("item", F.monotonically_increasing_id())
     index = items.select("item", F.inline(F.arrays_zip("hashes", "at"))).select(F.col("hashes").alias("hash"), "item", F.col("at").alias("item_at"))
     bits = bit_set(index.select("hash"))
-    near = staged(regions(docs, bits), "regions").withColumn("region", F.monotonically_increasing_id())
+    # A number for each length below SHORT that some item has.
+    short = tuple(sorted(r["n"] for r in items.select(F.size("tokens").alias("n")).where((F.col("n") > 0) & (F.col("n") < SHORT)).distinct().collect()))
+    near = staged(regions(docs, bits, short), "regions").withColumn("region", F.monotonically_increasing_id())
     hits = near.select("region", F.inline(F.arrays_zip("hashes", "at"))).select("region", F.col("hashes").alias("hash"), "at")
     small = index.count() <= BROADCAST_WINDOWS
     shared = F.broadcast if small else (lambda x: x)
@@ -188,10 +201,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that overlap no benchmark item. Documents without an id are kept."""
+    """The rows of docs, all columns, that overlap no benchmark item: null and empty texts among them, and rows
+    without an id. All rows of an id go if one of them overlaps. An empty table stays empty."""
     bad = overlaps(docs, benchmark).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad")).distinct()
     return by_ids(docs, staged(bad, "contaminated"), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that overlap; others, null and empty texts among them, have none."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

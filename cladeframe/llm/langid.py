@@ -23,12 +23,17 @@ BUCKETS = 1 << 13
 #: Labelled rows a language that its centroids are clustered from, as expected; n-gram counts are over all rows.
 FIT_ROWS = 400
 CLUSTERS, STEPS = 3, 10
-#: A text is rejected below this share of the smallest cosine that a fitted row of its length had.
-REJECT = 0.5
-#: Fitted rows of a length (by its power of two) from which on distances count.
+#: A cluster with a smaller share of its language's fitted rows is taken for junk or wrong labels and has no centroid.
+LEAST_SHARE = 0.08
+#: Every so many-th fitted row is held out of the clustering and calibrates the rejection.
+CALIBRATE = 4
+#: A text is rejected below REJECT times the cosine that a share of 1 - LOW of the calibrating rows of its length and language
+#: exceed. A low quantile, unlike the least, isn't moved by a few rows of junk that bear a language's label.
+REJECT, LOW = 0.5, 0.1
+#: Calibrating rows of a length (by its power of two) from which on distances count.
 ENOUGH = 20
-#: Cosine below which a text of a length without fitted rows is rejected.
-BARE = 0.05
+#: Texts under 2**SHORT letters, and lengths without calibrating rows, are rejected below this cosine only.
+BARE, SHORT = 0.05, 5
 #: Texts vectorised at once: their dense counts take 64 KB each.
 SLICE = 128
 UNKNOWN = "und"
@@ -81,7 +86,7 @@ class Centroids:
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     points: np.ndarray = field(default_factory=lambda: np.zeros((0, BUCKETS), np.float32))
     idf: np.ndarray = field(default_factory=lambda: np.ones(BUCKETS, np.float32))
-    floor: np.ndarray = field(default_factory=lambda: np.zeros(32, np.float32))
+    floor: np.ndarray = field(default_factory=lambda: np.zeros((1, 32), np.float32))
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores from 0 to 1, and which texts are rejected."""
@@ -93,7 +98,7 @@ class Centroids:
         none = letters == 0
         score = np.where(none, 0.0, np.clip(cosine[np.arange(len(texts)), best], 0.0, 1.0)).astype(np.float64)
         names = [UNKNOWN if z else self.languages[self.owner[b]] for z, b in zip(none.tolist(), best.tolist(), strict=True)]
-        return names, score, none | (score < self.floor[band(letters)])
+        return names, score, none | (score < self.floor[self.owner[best], band(letters)])
 
 
 def band(letters: np.ndarray) -> np.ndarray:
@@ -110,7 +115,8 @@ def clusters(x: np.ndarray, k: int, steps: int) -> np.ndarray:
         nearest = (x @ points.T).argmax(axis=1)
         new = np.stack([x[nearest == j].sum(axis=0) if (nearest == j).any() else points[j] for j in range(len(points))])
         points = new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
-    return points.astype(np.float32)
+    held = np.bincount((x @ points.T).argmax(axis=1), minlength=len(points))
+    return points[held >= min(LEAST_SHARE * len(x), held.max())].astype(np.float32)
 
 
 def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CLUSTERS) -> Centroids:
@@ -157,32 +163,44 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CLUSTERS) -> C
     for r in sample:
         if r["letters"]:
             by.setdefault(r["lang"], []).append((r["letters"], np.frombuffer(r["packed"], np.int32).reshape(2, -1)))
-    floor, seen = np.full(32, np.inf), np.zeros(32, np.int64)
-    points, owner = [], []
+    points, owner, nearness = [], [], []
     for name in sorted(by):
         counts = np.zeros((len(by[name]), BUCKETS), np.int32)
         for i, (_, (at, n)) in enumerate(by[name]):
             counts[i, at] = n
         x = vectors(counts, model.idf)
-        own = clusters(x, k, STEPS)
+        held = np.arange(len(x)) % CALIBRATE == CALIBRATE - 1
+        own = clusters(x[~held], k, STEPS)
         points.append(own)
         owner += [len(model.languages)] * len(own)
         model.languages.append(name)
-        bands = band(np.array([n for n, _ in by[name]]))
-        np.minimum.at(floor, bands, (x @ own.T).max(axis=1))
-        np.add.at(seen, bands, 1)
-    model.owner, model.points = np.array(owner), np.concatenate(points)
-    # A longer text may not be further off than a shorter one has to be. For lengths that too few fitted rows
-    # have, only texts of 16 letters or more that share next to nothing with any centroid are rejected.
-    model.floor[4:] = BARE
-    known = np.flatnonzero(seen >= ENOUGH)
-    if len(known):
-        lowest = np.minimum.accumulate(floor[::-1])[::-1]
-        lowest[np.isinf(lowest)] = floor[np.isfinite(floor)].min()
-        model.floor[known[0] :] = REJECT * lowest[known[0] :]
+        nearness.append((band(np.array([n for n, _ in by[name]]))[held], (x[held] @ own.T).max(axis=1)))
+    model.owner, model.points, model.floor = np.array(owner), np.concatenate(points), floors(nearness)
     return model
 
 
+def floors(nearness: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each language and length (power of two of its letters) the cosine below which a text is rejected.
+
+    nearness: for each language the lengths and cosines of its calibrating rows. A length's quantile is over all
+    languages, and a language has a factor for how far its rows lie below that.
+    """
+    out = np.full((max(len(nearness), 1), 32), BARE, np.float32)
+    out[:, :4] = 0.0
+    bands, cosine = (np.concatenate([n[k] for n in nearness]) if nearness else np.zeros(0) for k in (0, 1))
+    usual, known = np.zeros(32), np.zeros(32, bool)
+    for b in range(SHORT, 32):
+        here = cosine[bands == b]
+        known[b] = len(here) >= ENOUGH
+        # A length that few rows have goes by the next shorter one that is known.
+        usual[b] = np.quantile(here, LOW) if known[b] else usual[b - 1]
+    for k, (own, cos) in enumerate(nearness):
+        some = usual[own] > 0
+        factor = min(1.0, np.quantile(cos[some] / usual[own[some]], LOW)) if some.sum() >= ENOUGH else 1.0
+        out[k] = np.where(usual > 0, REJECT * factor * usual, out[k])
+    return out
+
+
 def predict(docs: DataFrame, model: Centroids) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every row, from its text alone.
 
@@ -226,6 +244,8 @@ def keep_known(docs: DataFrame, model: Centroids | None = None) -> DataFrame:
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document's whole text; null, empty and letterless texts are `und` with score 0,
+    ties go to the first language by name, repeated rows are returned each, an empty table gives no row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = predict(docs, train_on_documents(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

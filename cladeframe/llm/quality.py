@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cladeframe.llm.common import need
 from cladeframe.llm.tokens import in_slices
 
-#: Rows the scorer is fitted on, as expected; the label model uses the votes on all rows.
+#: Rows the scorer is fitted on at most; the label model uses the votes on all rows.
 FIT_ROWS = 4000
 BUCKETS = 1 << 14
 EPOCHS, RATE, DECAY = 30, 0.5, 1e-5
@@ -181,8 +181,8 @@ def fit_scorer(rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
-    """Votes of all documents are counted by pattern on the executors (3**11 patterns at most); the scorer is
-    fitted on the driver on an expected fit_rows documents, chosen by a hash of doc_id."""
+    """Votes of all documents are counted by pattern on the executors (3**11 patterns at most); the scorer is fitted
+    on the driver on at most fit_rows documents, chosen by a hash of id and text."""
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).where("text IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,18 +198,19 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     patterns = np.array([np.frombuffer(bytes(r["pattern"]), np.int8) for r in got]) if got else np.zeros((0, len(LABELLERS)), np.int8)
     counts = np.array([r["n"] for r in got], float)
     labels = fit_labels(patterns, counts)
+    # By a hash of id and text: rows that share an id, or have none, aren't drawn together; equal rows count once.
     share = min(1.0, fit_rows / max(counts.sum(), 1.0))
-    sample = texts.where(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) < F.lit(int(share * (1 << 40)) + 1))
+    sample = texts.select(F.xxhash64("doc_id", "text").alias("h"), "text").where(F.col("h").bitwiseAND(F.lit((1 << 40) - 1)) < F.lit(int(share * (1 << 40)) + 1))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, some in in_slices(batch.column(0)):
+            for first, some in in_slices(batch.column(1)):
                 words, stats = described(some)
                 post = labels.posterior(votes(stats))
                 rows = [features(t, w, tuple(s)).astype(np.int32).tobytes() for t, w, s in zip(some, words, stats, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(post)], names=["features", "posterior"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(rows, pa.binary()), pa.array(post)], names=["h", "features", "posterior"])
 
-    fitted = sample.select("text").mapInArrow(sparse, "features binary, posterior double").orderBy("features", "posterior").collect()
+    fitted = sample.mapInArrow(sparse, "h long, features binary, posterior double").dropDuplicates(["h"]).orderBy("h").limit(fit_rows).collect()
     weights = fit_scorer([np.frombuffer(bytes(r["features"]), np.int32) for r in fitted], np.array([r["posterior"] for r in fitted]))
     return Scorer(labels, weights)
 
@@ -234,4 +235,5 @@ def score(docs: DataFrame, model: Scorer | None = None) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior, quality and keep of every document; null, empty and repeated rows as in score()."""
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))

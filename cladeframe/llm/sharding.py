@@ -66,10 +66,11 @@ def hilbert_table(spark: SparkSession, dims: int, bits: int) -> DataFrame:
 
 
 def quantised(df: DataFrame, numbers: list[str], names: list[str], bits: int) -> DataFrame:
-    """Add column cell. Numbers are cut at the quantiles of all rows, names by a hash; null is 0.
+    """Add column cell. Numbers are cut at the quantiles of all rows; null is 0.
 
-    The quantiles come from a mergeable summary of bounded size; 2**bits-1 numbers a column reach the
-    driver.
+    The quantiles come from a mergeable summary of bounded size; 2**bits-1 numbers a column reach the driver. A
+    column of fewer than 2**bits names has a cell for each, in their order; of more, 2**bits reach the driver
+    and names share cells by a hash.
     """
     cells = 1 << bits
     at = [i / cells for i in range(1, cells)]
@@ -81,7 +82,12 @@ def quantised(df: DataFrame, numbers: list[str], names: list[str], bits: int) ->
         for c in cuts:
             bucket = bucket + (F.col(n) > F.lit(c)).cast("int")
         parts.append(F.coalesce(bucket, F.lit(0)))
-    parts += [F.when(F.col(n).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(n), F.lit(cells))).cast("int") for n in names]
+    for n in names:
+        few = sorted(r[0] for r in df.select(n).where(F.col(n).isNotNull()).distinct().limit(cells).collect())
+        if len(few) < cells:
+            parts.append(F.coalesce(F.array_position(F.array(*map(F.lit, few)), F.col(n)), F.lit(0)).cast("int") if few else F.lit(0))
+        else:
+            parts.append(F.when(F.col(n).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(n), F.lit(cells))).cast("int"))
     cell = F.lit(0)
     for p in parts:
         cell = F.shiftleft(cell, bits).bitwiseOR(p)
@@ -93,8 +99,9 @@ def hilbert_shards(docs: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS)
 
     Returns doc_id, lang, source, size, text_crc32, cell, curve, shard, slot. Dimensions: size of the
     text, language, source. Null text: no bytes, CRC of the empty text. Null language or source: cell
-    0. Equal curve indexes are ordered by CRC, then doc_id, so equal texts of one source stay
-    together; repeated rows each get a slot. Shards differ by one row at most. An empty table gives an
+    0. Equal texts form a group that lies in one cell, that of its least language and source, and within a curve
+    index rows are ordered by CRC, text hash and doc_id: a group is one run of rows, parted only where a shard is
+    full. Repeated rows each get a slot. Shards differ by one row at most. An empty table gives an
     empty result. Other columns of docs are ignored. Texts aren't shuffled.
     """
     need(docs, "doc_id", "text", "lang", "source")
@@ -105,13 +112,20 @@ def hilbert_shards(docs: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS)
         F.col("source").cast("string").alias("source"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
     )
     rows = staged(rows, "shard-sizes")  # the texts are read once
-    cells = quantised(rows, ["size"], ["lang", "source"], bits)
+    # Only groups whose rows differ in language or source are joined; copies are counted before they are shuffled.
+    names = [F.min(n).alias(f"one_{n}") for n in ("lang", "source")]
+    mixed = F.min("lang").eqNullSafe(F.max("lang")) & F.min("source").eqNullSafe(F.max("source")) & (F.count("lang").isin(0, F.count("*"))) & (F.count("source").isin(0, F.count("*")))
+    groups = rows.groupBy("size", "text_crc32", "text_hash").agg(F.count("*").alias("n"), (~mixed).alias("mixed"), *names).where("n > 1 AND mixed").drop("n", "mixed").withColumn("grouped", F.lit(True))
+    rows = rows.join(groups, ["size", "text_crc32", "text_hash"], "left")
+    rows = rows.withColumns({f"group_{n}": F.when(F.col("grouped"), F.col(f"one_{n}")).otherwise(F.col(n)) for n in ("lang", "source")})
+    cells = quantised(staged(rows, "shard-groups"), ["size"], ["group_lang", "group_source"], bits)
     curve = hilbert_table(docs.sparkSession, 3, bits)
     # 2**15 rows of two ints, whatever the input.
     placed = cells.join(F.broadcast(curve), "cell")
-    keys = [F.col("curve"), F.col("text_crc32"), F.col("doc_id")]
+    keys = [F.col("curve"), F.col("text_crc32"), F.col("text_hash"), F.col("doc_id")]
     numbered = global_index(placed, keys, "_row", "shard-order")
     total = rows.agg(F.count("*").alias("_total"))
     k = F.lit(n_shards).cast("long")
@@ -136,6 +150,7 @@ def shard_manifest(shards: DataFrame) -> DataFrame:
 
 
 def op8_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size, CRC, shard and slot under the law of near-equal row counts; nulls, ties and repeats as in hilbert_shards()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return hilbert_shards(docs).select(
         "doc_id",

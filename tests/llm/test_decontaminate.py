@@ -52,3 +52,18 @@ def test_overlap_needs_its_share():
     assert D.best_overlap(doc, item, 0) == (0, 20, 17 / 20)
     doc[::3] = -1
     assert D.best_overlap(doc, item, 0) is None
+
+
+def test_short_items_against_brute_force(spark):
+    """Items of one to eight words, met whole or with one word changed."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(14)]
+    docs = [(d, " ".join(r.choice(words) for _ in range(r.randint(0, 25)))) for d in range(120)]
+    items = [(n * 10 + k, " ".join(r.choice(words) for _ in range(n))) for n in range(1, 9) for k in range(5)]
+
+    def met(doc, item):
+        return any(sum(a == b for a, b in zip(doc[i : i + len(item)], item, strict=True)) >= D.SIMILARITY * len(item) for i in range(len(doc) - len(item) + 1))
+
+    want = {(d, k) for d, t in docs for k, x in items if met(t.split(), x.split())}
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(want) > 100

@@ -17,7 +17,7 @@ def test_languages_of_held_out_documents(spark, docs, no_docs):
     rows = [(k, t, lang, x) for k, (_, t, lang, x) in enumerate(rows)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     model = langid.train_on_documents(df)
-    assert model.languages == sorted(LANGUAGES) and len(model.points) == 9
+    assert model.languages == sorted(LANGUAGES) and 3 <= len(model.points) <= 9
     got = {r.doc_id: r for r in langid.predict(df, model).collect()}
     held = {r.doc_id for r in df.where(langid.held_out(df.doc_id)).select("doc_id").collect()}
     assert 0.1 < len(held) / len(rows) < 0.3
@@ -32,6 +32,20 @@ def test_languages_of_held_out_documents(spark, docs, no_docs):
     assert kept.columns == df.columns and kept.count() == len(rows)
 
 
+def test_other_languages_and_junk_are_rejected(spark):
+    """Junk that bears a language's label neither loosens the floor nor passes it; short clean texts pass."""
+    rows = [(text(lang, i, 20 + i % 60), lang) for i in range(120) for lang in ("aa", "cc")]
+    noise = lambda i, n: " ".join("".join(random.Random(f"{i}/{k}").choices("bcdfghjklmnpqrstvwxz", k=7)) for k in range(n))
+    rows += [(noise(i, 60), "aa") for i in range(6)]
+    df = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(df.withColumnRenamed("doc_id", "key"))
+    clean = [(i, text(lang, 5000 + i, 3 + i)) for i in range(60) for lang in ("aa", "cc")]
+    left_out = [(i, " ".join("".join(random.Random(i * 99 + k).choices(["wun", "dra", "ki", "pfo", "zey"], k=3)) for k in range(60))) for i in range(60)]
+    junk = [(i, noise(i, 30 + i)) for i in range(30)]
+    share = lambda some: sum(r.rejected for r in langid.predict(spark.createDataFrame(some, "doc_id long, text string"), model).collect()) / len(some)
+    assert share(clean) == 0 and share(left_out) == 1 and share(junk) == 1
+
+
 def test_n_grams_stay_within_a_text():
     a, _ = langid.gram_counts([b"abc", b"xyz"])
     b, _ = langid.gram_counts([b"abc"])
@@ -72,3 +86,31 @@ def test_quality_of_plain_and_broken_texts(spark, docs, no_docs):
     assert right >= 0.97 * len(rows)
     assert {x.quality for x in quality.score(docs, model).collect() if x.doc_id in (1, 2, 3)} == {0.0}
     assert quality.score(docs, model).count() == docs.count() and quality.score(no_docs).count() == 0
+
+
+def test_the_scorers_sample_is_bounded_where_ids_are_missing_or_repeated(spark, monkeypatch):
+    seen = []
+    real = quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda rows, target: seen.append(len(rows)) or real(rows, target))
+    for ids in ("CAST(NULL AS long)", "7L"):
+        df = spark.range(600).selectExpr(f"{ids} AS doc_id", "concat_ws(' ', 'some plain words number', cast(id % 500 AS string)) AS text")
+        quality.train(df, 50)
+    assert all(20 <= n <= 50 for n in seen)
+
+
+def test_votes_and_posterior_against_plain_python():
+    texts = [b"Plain words, as usual. " * 5, b"AAAA BBBB!!! ??? ###", b"x x x x x x x x x x x x x x x x x x x x x x", b"", b"one|two|{three}|<four>"]
+    _, stats = quality.described(texts)
+    v = quality.votes(stats)
+    for row, own in zip(v, stats, strict=True):
+        for k, (name, bad, good) in enumerate(quality.LABELLERS):
+            x = own[quality.STATS.index(name)]
+            assert row[k] == (quality.BAD if x >= bad else quality.GOOD if x <= good else quality.NONE)
+    rng = np.random.default_rng(1)
+    says = rng.random((len(quality.LABELLERS), 2, 3)) + 0.1
+    model = quality.Labels(0.7, says / says.sum(axis=2, keepdims=True))
+    for row, p in zip(v, model.posterior(v), strict=True):
+        good, bad = 0.7, 0.3
+        for k, x in enumerate(row):
+            good, bad = good * model.says[k, 1, x], bad * model.says[k, 0, x]
+        assert abs(p - good / (good + bad)) < 1e-9

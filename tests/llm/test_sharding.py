@@ -30,3 +30,20 @@ def test_manifest_and_empty(docs, no_docs):
     m = S.shard_manifest(shards).collect()
     assert sum(r["rows"] for r in m) == docs.count() and all(r.min_curve <= r.max_curve for r in m)
     assert S.hilbert_shards(no_docs).count() == 0
+
+
+def test_equal_texts_are_one_run(spark):
+    """Copies in several sources and languages follow each other; only a full shard parts them."""
+    rows = [(i, f"text {i % 40}" if i % 3 else "everywhere", [None, "en", "de"][i % 7 % 3], f"s{i % 11}") for i in range(600)]
+    got = sorted(S.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4), 6).collect(), key=lambda r: (r.shard, r.slot))
+    texts = {i: t for i, t, _, _ in rows}
+    runs = 1 + sum(texts[a.doc_id] != texts[b.doc_id] for a, b in zip(got, got[1:], strict=False))
+    assert runs == len(set(texts.values()))
+    assert {r.doc_id: (r.lang, r.source) for r in got} == {i: (lang, source) for i, _, lang, source in rows}
+
+
+def test_the_manifest_prunes_shards(spark):
+    rows = [(i, "x" * (10 + i * 7 % 900), ["en", "de", "fr", "es"][i % 4], f"s{i % 10:02}") for i in range(4000)]
+    m = S.shard_manifest(S.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 40)).collect()
+    for name, value in (("lang", "fr"), ("source", "s03"), ("size", 500)):
+        assert sum(r[f"min_{name}"] <= value <= r[f"max_{name}"] for r in m) <= 30

@@ -2,14 +2,15 @@
 
 In any one order of all shingles, two sets of similarity s at least share a shingle within their first n - ceil(s * n) + 1
 (n a set's size), so a set is dealt to one cell for each of those and every similar pair meets in a cell. Rare shingles come
-first, as counted in a sample: another order changes the work, never the result. Pairs that meet are compared in full.
+first, as counted in a sample: another order changes the work, never the result. Pairs that meet are compared in full. Whoever calls can
+give pairs to begin with, such as those of an index of fingerprints: they are compared first, and what they link isn't sought again.
 """
 
 from __future__ import annotations
 
 import ctypes
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,21 +33,37 @@ SMALL, PIVOT_ROUNDS = 16, 3
 EPS = 1e-6
 
 
-def shingle_set(text: bytes | None, words: int) -> np.ndarray:
-    """Sorted distinct XXH64 (as signed longs) of a text's runs of so many words; words are split and lower-cased as for fingerprints."""
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 of a text's runs of so many words, repeats included; words are split and lower-cased as for fingerprints."""
     from xxhash import xxh64_intdigest as digest
 
     own = text.lower().split() if text else []
     if not own:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     if len(own) <= words:
-        hashes = [digest(b" ".join(own), SEED)]
-    else:
-        joined = b" ".join(own)
-        at = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
-        starts = [0, *at[: len(own) - words].tolist()]
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (at[words - 1 :] - 1).tolist(), strict=True)]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+        return np.array([digest(b" ".join(own), SEED)], np.uint64)
+    joined = b" ".join(own)
+    at = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+    starts = [0, *at[: len(own) - words].tolist()]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (at[words - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Sorted distinct shingles, as signed longs."""
+    return np.unique(shingle_hashes(text, words).view(np.int64))
+
+
+def majority_bits(hashes: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each list of hashes: a bit is set if over half of them have it. An empty list has 0."""
+    size = np.array([len(h) for h in hashes])
+    has = size > 0
+    fp = np.zeros(len(hashes), np.uint64)
+    if has.any():
+        bits = np.unpackbits(np.concatenate(hashes).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        begin = np.cumsum(size[has]) - size[has]
+        ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+        fp[has] = np.packbits(2 * ones > size[has][:, None], axis=1).view(">u8").ravel()
+    return fp
 
 
 def release() -> None:
@@ -85,7 +102,7 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def prefixes(docs: DataFrame, words: int, similar: float) -> DataFrame:
-    """doc_id, node (a hash of the set of shingles), size, prefix (its rarest shingles, in order) of every row."""
+    """doc_id, node (a hash of the set of shingles), size, fp (fingerprint of its shingles), prefix (its rarest, in order) of every row."""
     common, often = common_shingles(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,17 +112,19 @@ def prefixes(docs: DataFrame, words: int, similar: float) -> DataFrame:
         for batch in batches:
             for first, texts in in_slices(batch.column(1)):
                 nodes, sizes, firsts = [], [], []
-                for t in texts:
-                    h = shingle_set(t, words)
+                every = [shingle_hashes(t, words) for t in texts]
+                fps = majority_bits(every)
+                for own in every:
+                    h = np.unique(own.view(np.int64))
                     nodes.append(digest(h.tobytes(), SEED))
                     sizes.append(len(h))
                     if len(h) and len(common):
                         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                         h = h[np.argsort(np.where(common[at] == h, often[at], 0), kind="stable")]
                     firsts.append(h[: len(h) - int(np.ceil(similar * len(h) - EPS)) + 1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(firsts)], names=["doc_id", "node", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps.view(np.int64)), _lists(firsts)], names=["doc_id", "node", "size", "fp", "prefix"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, node long, size long, prefix array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, node long, size long, fp long, prefix array<long>")
 
 
 def _may_match(a: str, b: str, similar: float) -> Column:
@@ -156,11 +175,28 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, least: DataFrame, repeated:
     return met.where((1 + similar) * F.size(F.array_intersect("p", "q")) >= similar * (F.size("p") + F.size("q")) - EPS).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similar: float = 0.8, small: int = SMALL) -> DataFrame:
+#: From a DataFrame of distinct fingerprints (column fp) to links (a, b) between them.
+Index = Callable[[DataFrame], DataFrame]
+
+
+def proposed(marked: DataFrame, index: Index, similar: float) -> DataFrame:
+    """Pairs of nodes (a < b) whose fingerprints are equal or linked by the index, and whose sizes allow the similarity."""
+    nodes = marked.groupBy("fp", "node").agg(F.first("size").alias("size"))
+    # One node stands for a fingerprint: the rest of its nodes, and its links, lead there.
+    named = staged(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("one")), "fingerprint-nodes")
+    same = nodes.join(named, "fp").select(F.struct("node", "size").alias("x"), F.col("one").alias("y"))
+    end = lambda fp, name: named.select(F.col("fp").alias(fp), F.col("one").alias(name))
+    linked = index(named.select("fp")).join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")
+    both = same.union(linked).where((F.col("x.node") != F.col("y.node")) & (F.least("x.size", "y.size") >= similar * F.greatest("x.size", "y.size") - EPS))
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similar: float = 0.8, small: int = SMALL, index: Index | None = None) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable over pairs of that Jaccard similarity or more, itself included) of every row.
 
     Texts without words are one group. Sets that are equal are one node. A link is only sought between nodes not yet
-    connected, so a large group of near copies costs its size, not its square. Null doc_ids never name a group that has another.
+    connected, so a large group of near copies costs its size, not its square. With index, the pairs it proposes are
+    compared first; the groups are the same. Null doc_ids never name a group that has another.
     """
     need(docs, "doc_id", "text")
     marked = staged(prefixes(docs, words, similar), "prefixes")
@@ -170,9 +206,21 @@ def similar_groups(docs: DataFrame, words: int = 5, similar: float = 0.8, small:
     one = marked.join(first, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "size", F.posexplode("prefix").alias("at", "key"))
     in_cell = Window.partitionBy("key").orderBy("node")
     met = one.withColumns({"before": F.lag("node").over(in_cell), "after": F.lead("node").over(in_cell)}).where("before <> node OR after <> node")
-    open_ = staged(met.select("key", "node", "size", "at"), "cells").withColumn("component", F.col("node"))
+    cells = staged(met.select("key", "node", "size", "at"), "cells")
     links: DataFrame | None = None
     named = least.select("node", F.col("node").alias("component"))
+
+    def connected(pairs: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        found = staged(similar_pairs(pairs, docs, least, repeated, words, similar), "similar-pairs")
+        found = found if before is None else before.unionByName(found)
+        linked = components(found)
+        return found, staged(least.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+
+    if index is not None:
+        first_pairs = staged(proposed(marked, index, similar), "proposed")
+        if not first_pairs.isEmpty():
+            links, named = connected(first_pairs, links)
+    open_ = cells.join(named, "node")
     for number in itertools.count(1):
         own = open_.select("key", F.struct("node", "size", "at", "component").alias("me"))
         of_key = own.groupBy("key").agg(F.count("*").alias("n"), F.min("me").alias("low"), F.max("me").alias("high"), F.min("me.component").alias("c"), F.max("me.component").alias("d"))
@@ -180,10 +228,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similar: float = 0.8, small:
         most = small if number <= PIVOT_ROUNDS else None
         pairs = staged(candidates(cells, similar, most), "candidates")
         if not pairs.isEmpty():
-            found = staged(similar_pairs(pairs, docs, least, repeated, words, similar), "similar-pairs")
-            links = found if links is None else links.unionByName(found)
-            linked = components(links)
-            named = staged(least.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+            links, named = connected(pairs, links)
         # The pivots of a large cell have met all others; small cells are done.
         open_ = cells.where((F.col("n") > most) & (F.col("me.node") != F.col("low.node")) & (F.col("me.node") != F.col("high.node"))) if most is not None else cells.limit(0)
         if open_.isEmpty():

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from cladeframe.llm.common import by_ids, need, shuffle_partitions, staged
 from cladeframe.llm.components import components
-from cladeframe.llm.shingles import similar_groups
+from cladeframe.llm.shingles import majority_bits, shingle_hashes, similar_groups
 from cladeframe.llm.tokens import in_slices
 
-WORDS, BITS, SEED = 4, 4, 42
+WORDS, BITS = 4, 4
 #: Distinct fingerprints that a cell should hold on average; decides into how many blocks the 64 bits go.
 CELL = 2048
 #: Fingerprints compared at once. A larger cell is dealt into chunks, and each pair of chunks is a task's work.
@@ -42,36 +42,10 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     need(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest as digest
-
         for batch in batches:
-            doc_ids = batch.column(0)
             for first, texts in in_slices(batch.column(1)):
-                hashes: list[int] = []
-                sizes = []
-                for t in texts:
-                    own = t.lower().split() if t else []
-                    n = len(own) - words + 1
-                    if not own:
-                        n = 0
-                    elif n <= 1:
-                        n = 1
-                        hashes.append(digest(b" ".join(own), SEED))
-                    else:
-                        joined = b" ".join(own)
-                        at = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
-                        starts = [0, *at[: n - 1].tolist()]
-                        hashes += [digest(joined[a:b], SEED) for a, b in zip(starts, (at[words - 1 :] - 1).tolist(), strict=True)]
-                    sizes.append(n)
-                size = np.array(sizes)
-                has = size > 0
-                fp = np.zeros(len(texts), np.uint64)
-                if has.any():
-                    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                    begin = np.cumsum(size[has]) - size[has]
-                    ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-                    fp[has] = np.packbits(2 * ones > size[has][:, None], axis=1).view(">u8").ravel()
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(texts)), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                fp = majority_bits([shingle_hashes(t, words) for t in texts])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, FINGERPRINTS)
@@ -237,11 +211,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, cell:
 def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS, similar: float | None = None) -> DataFrame:
     """The rows of docs, all columns, that stand for their group of near duplicates: that of the smallest doc_id, once.
 
-    With similar, groups are linked by at least that exact Jaccard similarity of the sets of shingles instead of by the bits of
-    fingerprints: no bound on 64 bits finds all such pairs. Rows without a doc_id can't be named and all stay.
+    Without similar, fingerprints at most bits apart are linked. With similar, the pairs that the index of fingerprints
+    proposes are linked if the Jaccard similarity of their sets of shingles is at least that; as no bound on 64 bits
+    finds all such pairs, those between groups still apart are then found from rare shingles, exactly. Null and empty
+    texts are copies of each other; of repeated rows one stays. Rows without a doc_id can't be named and all stay. An
+    empty table stays empty.
     """
     texts = docs.select("doc_id", "text")
-    found = near_duplicates(texts, words, bits) if similar is None else similar_groups(texts, words, similar)
+    found = near_duplicates(texts, words, bits) if similar is None else similar_groups(texts, words, similar, index=lambda fps: links(fps, bits))
     groups = staged(found, "near-duplicates").where("doc_id IS NOT NULL")
     gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     repeated = staged(groups.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"), "repeated")
@@ -253,5 +230,6 @@ def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS, similar: flo
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document; null, empty and repeated rows as in near_duplicates()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 
 from cladeframe.llm import shingles as J
+from cladeframe.llm import simhash
 
 from .conftest import prose
 
@@ -60,8 +61,8 @@ def rows():
 def test_groups_are_those_of_brute_force(spark, rows):
     want = sorted((i, c) for (i, _), c in zip(rows, brute_groups(rows), strict=True))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for small in (J.SMALL, 4):
-        assert sorted((r.doc_id, r.component_id) for r in J.similar_groups(df, small=small).collect()) == want
+    for small, index in ((J.SMALL, None), (4, None), (4, lambda fps: simhash.links(fps, 8))):
+        assert sorted((r.doc_id, r.component_id) for r in J.similar_groups(df, small=small, index=index).collect()) == want
     assert J.similar_groups(df.limit(0)).count() == 0
 
 

@@ -106,10 +106,12 @@ def band(letters: np.ndarray) -> np.ndarray:
 
 
 def clusters(x: np.ndarray, k: int, steps: int) -> np.ndarray:
-    """Spherical k-means; starts at the vector nearest to the mean and then at those farthest from the chosen."""
-    chosen = [int((x @ x.mean(axis=0)).argmax())]
+    """Spherical k-means; starts at the vector nearest to the mean and then at those farthest from the chosen, of the nearer half."""
+    middle = x @ x.mean(axis=0)
+    outer = middle < np.median(middle)
+    chosen = [int(middle.argmax())]
     while len(chosen) < min(k, len(x)):
-        chosen.append(int((x @ x[chosen].T).max(axis=1).argmin()))
+        chosen.append(int(np.where(outer, 2.0, (x @ x[chosen].T).max(axis=1)).argmin()))
     points = x[chosen]
     for _ in range(steps):
         nearest = (x @ points.T).argmax(axis=1)

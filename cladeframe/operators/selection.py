@@ -88,15 +88,20 @@ def best_per_locus(models: DataFrame, contig: str, start: str, end: str, score:
 
 def back_translate(aligned: Column, cds: Column) -> Column:
     """A codon alignment: each residue of an aligned protein as its codon, each gap as three; null if the coding sequence is too short."""
-    chars = F.split(aligned, "")
-    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = x == "-"
-        codon = F.when(gap, F.lit("---")).otherwise(F.substring(cds, acc["k"] * 3 + 1, F.lit(3)))
-        return F.struct((acc["k"] + F.when(gap, 0).otherwise(1)).alias("k"), F.concat(acc["out"], F.array(codon)).alias("out"))
-
-    whole = F.aggregate(chars, start, step, lambda acc: F.array_join(acc["out"], ""))
+    # Codons in order: a residue's codon is that of the residues before it, so no running state is needed.
+    codons = F.filter(F.regexp_extract_all(cds, F.lit("(?s).{1,3}"), F.lit(0)), lambda c: F.length(c) == 3)
+    runs = F.regexp_extract_all(aligned, F.lit("-+|[^-]+"), F.lit(0))
+    gaps = F.transform(runs, lambda r: F.when(r.startswith("-"), F.repeat(F.lit("-"), 3 * F.length(r))))
+    placed = F.aggregate(
+        F.sequence(F.lit(1), F.size(runs)),
+        F.struct(F.lit(0).alias("k"), F.lit("").alias("out")),
+        lambda acc, i: F.struct(
+            (acc["k"] + F.when(F.element_at(gaps, i).isNull(), F.length(F.element_at(runs, i))).otherwise(0)).alias("k"),
+            F.concat(acc["out"], F.coalesce(F.element_at(gaps, i), F.array_join(F.slice(codons, acc["k"] + 1, F.length(F.element_at(runs, i))), ""))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    whole = F.when(F.length(aligned) > 0, placed).otherwise("")
     return F.when(F.length(cds) >= 3 * F.length(F.replace(aligned, F.lit("-"), F.lit(""))), whole)
 
 

@@ -6,23 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.exprs import erfc
+from cladeframe.stage import in_ranges, running_sum
 
 
 def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
     """df with q: the least p*n/rank of this p-value and all larger ones, at most 1. Null p-values have a null q.
 
-    Equal p-values share the largest rank, so one row per distinct p-value is enough for the running minimum.
-    The p-values are binned by size; only a row per bin goes through an unpartitioned window.
+    Equal p-values share the largest rank, so one row per distinct p-value is enough for the running minimum. The
+    distinct values are dealt into ranges of near equal counts, wherever they crowd; a row per range goes through one window.
     """
-    distinct = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_c")).withColumn("_bin", F.floor(F.col(p) * 4096).cast("int"))
-    bins = distinct.groupBy("_bin").agg(F.sum("_c").alias("_c"))
-    upto = bins.selectExpr("_bin", "sum(_c) OVER (ORDER BY _bin) - _c AS _before", "sum(_c) OVER () AS _total")
-    inside = Window.partitionBy("_bin").orderBy(p)
-    ranks = distinct.join(F.broadcast(upto), "_bin").withColumn("_rank", F.col("_before") + F.sum("_c").over(inside)).withColumn("_raw", F.col(p) * F.col("_total") / F.col("_rank"))
-    lows = ranks.groupBy("_bin").agg(F.min("_raw").alias("_low"))
-    after = lows.selectExpr("_bin", "min(_low) OVER (ORDER BY _bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _after")
-    falling = Window.partitionBy("_bin").orderBy(F.col(p).desc())
-    q = ranks.join(F.broadcast(after), "_bin").withColumn("q", F.least(F.min("_raw").over(falling), F.coalesce("_after", F.lit(1.0)), F.lit(1.0)))
+    distinct = in_ranges(df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_c")), [p], "p-values")
+    upto = distinct.groupBy("_range").agg(F.sum("_c").alias("_c")).selectExpr("_range", "sum(_c) OVER (ORDER BY _range) - _c AS _before", "sum(_c) OVER () AS _total")
+    inside = Window.partitionBy("_range").orderBy(p)
+    ranks = distinct.join(F.broadcast(upto), "_range").withColumn("_rank", F.col("_before") + F.sum("_c").over(inside)).withColumn("_raw", F.col(p) * F.col("_total") / F.col("_rank"))
+    lows = ranks.groupBy("_range").agg(F.min("_raw").alias("_low"))
+    after = lows.selectExpr("_range", "min(_low) OVER (ORDER BY _range DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _after")
+    falling = Window.partitionBy("_range").orderBy(F.col(p).desc())
+    q = ranks.join(F.broadcast(after), "_range").withColumn("q", F.least(F.min("_raw").over(falling), F.coalesce("_after", F.lit(1.0)), F.lit(1.0)))
     return df.join(q.select(p, "q"), p, "left")
 
 
@@ -32,8 +32,8 @@ def mann_whitney(df: DataFrame, value: str, is_first: Column) -> DataFrame:
     p is null if a group is empty and 1 if the deviation is 0. Ranks are taken over distinct values.
     """
     by = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), F.count_if(is_first).alias("a"))
-    mean_rank = F.sum("n").over(Window.orderBy(value)) - (F.col("n") - 1) / 2
-    s = by.withColumn("r", mean_rank).agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n_a"), F.coalesce(F.sum("n") - F.sum("a"), F.lit(0)).alias("n_b"), F.sum(F.col("r") * F.col("a")).alias("ra"))
+    ranked = running_sum(by, [value], "n", "upto", "ranks").withColumn("r", F.col("upto") - (F.col("n") - 1) / 2)
+    s = ranked.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n_a"), F.coalesce(F.sum("n") - F.sum("a"), F.lit(0)).alias("n_b"), F.sum(F.col("r") * F.col("a")).alias("ra"))
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     u = F.col("ra") - na * (na + 1) / 2
     sd = F.sqrt(na * nb * (na + nb + 1) / 12)
@@ -61,9 +61,8 @@ def stratified_rates(genes: DataFrame, species: str, length: str, unplaced: Colu
 
 
 def running_offsets(loci: DataFrame, order: str, width: str) -> DataFrame:
-    """start, end (1-based, inclusive) of each locus when they are put one after another. One row per locus goes through the window."""
-    end = F.sum(width).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return loci.withColumn("end", end).withColumn("start", F.col("end") - F.col(width) + 1)
+    """start, end (1-based, inclusive) of each locus when they are put one after another in the order of a column without repeats."""
+    return running_sum(loci, [order], width, "end", "offsets").withColumn("start", F.col("end") - F.col(width) + 1)
 
 
 def unplaced_verdicts(observations: DataFrame, gene: str, n_genes: str, n_other: str, cross_hit: str, min_size: int = 4) -> DataFrame:

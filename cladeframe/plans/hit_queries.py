@@ -213,16 +213,18 @@ def cascading_id_match(spark, sf_dir):
 
 
 @query(
-    """WITH w AS (SELECT l_orderkey AS win, CAST(min(l_quantity) AS BIGINT) AS lo, CAST(max(l_quantity) AS BIGINT) AS hi, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 4 GROUP BY 1)
-SELECT p_partkey AS site, count(win) AS n_windows, coalesce(min(win), -1) AS first_window FROM part LEFT JOIN w ON p_size BETWEEN lo AND hi GROUP BY 1"""
+    """WITH w AS (SELECT l_orderkey AS win, CAST(min(l_quantity) AS BIGINT) AS lo, CAST(max(l_quantity) AS BIGINT) AS hi, count(*) AS n FROM lineitem GROUP BY 1),
+s AS (SELECT p_size, count(win) AS n_windows, coalesce(min(win), -1) AS first_window FROM (SELECT DISTINCT p_size FROM part) LEFT JOIN w ON p_size BETWEEN lo AND hi GROUP BY 1)
+SELECT p_partkey AS site, n_windows, first_window FROM part JOIN s ON part.p_size = s.p_size"""
 )
 def interval_overlap_left(spark, sf_dir):
     q = F.col("l_quantity")
-    w = t(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == "R") & (q < 4)).groupBy(F.col("l_orderkey").alias("win")).agg(F.min(q).cast("long").alias("lo"), F.max(q).cast("long").alias("hi"))
-    # Sites repeat: each size is joined once, with its windows counted.
+    w = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("win")).agg(F.min(q).cast("long").alias("lo"), F.max(q).cast("long").alias("hi"))
+    # Windows and sites repeat: each pair of bounds and each size is joined once, with what it stands for counted.
+    w = w.groupBy("lo", "hi").agg(F.count("*").alias("many"), F.min("win").alias("win"))
     p = t(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("size"))
     met = S.interval_overlaps(p.select("size").distinct(), "size", w, "lo", "hi", 8)
-    n = met.groupBy("size").agg(F.count("win").alias("n_windows"), F.coalesce(F.min("win"), F.lit(-1)).alias("first_window"))
+    n = met.groupBy("size").agg(F.coalesce(F.sum("many"), F.lit(0)).alias("n_windows"), F.coalesce(F.min("win"), F.lit(-1)).alias("first_window"))
     return p.join(n, "size").select(F.col("p_partkey").alias("site"), "n_windows", "first_window")
 
 

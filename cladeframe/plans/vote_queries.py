@@ -66,14 +66,14 @@ def rank_purity(spark, sf_dir):
 
 
 OBS = """og AS (SELECT CAST(ts AS DATE) AS d, event_type, CAST(floor(value) AS BIGINT) AS b, user_id FROM events), s AS (SELECT d, event_type, b, count(*) AS n, count(DISTINCT user_id) AS k FROM og GROUP BY 1, 2, 3),
-obs AS (SELECT og.user_id AS gene, s.n AS n_genes, s.k - 1 AS n_other, s.event_type = 'error' AS hit FROM og JOIN s ON og.d = s.d AND og.event_type = s.event_type AND og.b = s.b WHERE og.b > 25),
+obs AS (SELECT og.user_id AS gene, s.n AS n_genes, s.k - 1 AS n_other, s.event_type = 'error' AS hit FROM og JOIN s ON og.d = s.d AND og.event_type = s.event_type AND og.b = s.b),
 vd AS (SELECT gene, CASE WHEN bool_or(n_other > 0 AND n_genes >= 4) THEN 'PRUNED' WHEN bool_or(n_other > 0 AND n_genes >= 2) THEN 'SPLINTER' WHEN bool_or(n_genes >= 2) THEN 'LINEAGE_ONLY' WHEN bool_or(hit) THEN 'SINGLETON_HIT' ELSE 'SINGLETON_NOHIT' END AS verdict FROM obs GROUP BY gene)"""
 
 
 def _verdicts(spark, sf_dir):
     og = t(spark, sf_dir, "events").select(F.to_date("ts").alias("d"), "event_type", F.floor("value").alias("b"), "user_id")
     s = og.groupBy("d", "event_type", "b").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("k"))
-    obs = og.where("b > 25").join(s, ["d", "event_type", "b"]).select(F.col("user_id").alias("gene"), F.col("n").alias("n_genes"), (F.col("k") - 1).alias("n_other"), (F.col("event_type") == "error").alias("hit"))
+    obs = og.join(s, ["d", "event_type", "b"]).select(F.col("user_id").alias("gene"), F.col("n").alias("n_genes"), (F.col("k") - 1).alias("n_other"), (F.col("event_type") == "error").alias("hit"))
     return T.unplaced_verdicts(obs, "gene", "n_genes", "n_other", "hit")
 
 

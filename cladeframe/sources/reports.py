@@ -65,3 +65,9 @@ def narrative(family: str, subfamily: str, verdict: dict) -> str:
     for title, key in (("Evidence for", "evidence_for"), ("Evidence against", "evidence_against")):
         lines += [f"## {title}", *(f"- {x}" for x in verdict[key] or ["none"]), ""]
     return "\n".join(lines)
+
+
+def write_embeddings(df: DataFrame, path: str, gene: str = "gene", embedding: str = "embedding") -> None:
+    """A gene and its numbers, joined by commas, a line; numbers are written so that reading gives the same doubles."""
+    numbers = F.array_join(F.transform(embedding, lambda x: x.cast("double").cast("string")), ",")
+    df.select(F.concat_ws("\t", gene, numbers).alias("value")).write.mode("overwrite").text(path)

@@ -5,6 +5,8 @@ Without a command the tool's output is read as a table like any other; see text.
 
 from __future__ import annotations
 
+import logging
+import re
 import shlex
 import subprocess
 import tempfile
@@ -13,7 +15,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -68,6 +71,66 @@ def tree_command(builder: str, path: str, nucleotide: bool, binary: str | None =
     raise ValueError(f"unknown tree builder {builder}")
 
 
+def profile_build_command(binary: str, name: str, profile: str, alignment: str) -> list[str]:
+    return [binary, "-n", name, "--amino", profile, alignment]
+
+
+def profile_press_command(binary: str, profiles: str) -> list[str]:
+    return [binary, "-f", profiles]
+
+
+def profile_search_command(binary: str, profiles: str, fasta: str, table: str, evalue: float, threads: int, by_domain: bool = True) -> list[str]:
+    """A search of profiles against sequences; more than eight threads don't help it."""
+    return [binary, "--domtblout" if by_domain else "--tblout", table, "-E", str(evalue), "--cpu", str(min(threads, 8)), "--noali", profiles, fasta]
+
+
+def add_queries_command(aligner: str, binary: str, reference: str, queries: str, profile: str | None = None) -> list[str]:
+    """Queries put into a reference alignment."""
+    if aligner == "hmmalign":
+        return [binary, "--outformat", "afa", "--mapali", reference, profile or "", queries]
+    if aligner == "mafft":
+        return [binary, "--add", queries, "--keeplength", reference]
+    raise ValueError(f"unknown aligner {aligner}")
+
+
+def split_alignment_command(binary: str, reference: str, combined: str, folder: str) -> list[str]:
+    return [binary, "--split", reference, combined, "--outdir", folder]
+
+
+def placement_command(binary: str, tree: str, reference: str, queries: str, model: str, folder: str, threads: int) -> list[str]:
+    return [binary, "--tree", tree, "--ref-msa", reference, "--query", queries, "--model", model, "--outdir", folder, "-T", str(threads)]
+
+
+def outlier_command(binary: str, tree: str, folder: str, quantile: float = 0.05) -> list[str]:
+    return [binary, "-t", tree, "-q", str(quantile), "-o", folder]
+
+
+def structure_db_command(binary: str, fasta: str, db: str, model: str, threads: int) -> list[str]:
+    """Structure letters predicted from sequences; the model is a folder."""
+    if Path(model).is_file():
+        raise ValueError(f"{model} is a file, not a folder of weights")
+    return [binary, "createdb", fasta, db, "--prostt5-model", model, "--threads", str(threads)]
+
+
+@dataclass(frozen=True)
+class JointReference:
+    """What placements are made into: a tree, its alignment, the model's file, and the families on its edges."""
+
+    name: str
+    tree: str
+    alignment: str
+    model: str
+    families: tuple[str, ...] = ()
+
+
+def quoted(path: str) -> str:
+    """A path for a shell; a leading ~ stays for it to expand."""
+    head, sep, tail = path.partition("/")
+    if head.startswith("~") and re.fullmatch(r"~[A-Za-z0-9_.-]*", head):
+        return head + sep + (shlex.quote(tail) if tail else "")
+    return shlex.quote(path)
+
+
 #: Site classes of the site models, and the starting rates of the branch-site runs.
 SITE_MODELS = {"M0": 0, "M1a": 1, "M2a": 2, "M7": 7, "M8": 8}
 START_OMEGAS = (0.5, 1.5, 3.0)
@@ -174,3 +237,27 @@ def chunked(lines: Iterator[str], starts: str, size: int) -> Iterator[list[str]]
         chunk.append(line)
     if chunk:
         yield chunk
+
+
+def whole_results(spark: SparkSession, folder: str, expected: int | None = None, end: str = "# [ok]") -> DataFrame:
+    """file, value: the lines of a folder's result files, if each ends with the mark of a finished run and all are there; else ValueError."""
+    rows = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    state = rows.agg(F.count("*").alias("n"), F.count_if(~F.rtrim(F.regexp_replace("value", r"\s+$", "")).endswith(end)).alias("bad")).first()
+    if state["bad"] or (expected is not None and state["n"] != expected):
+        raise ValueError(f"{state['n']} result files, {state['bad']} of them unfinished; expected {expected}")
+    return rows.select("file", F.explode(F.split("value", "\n")).alias("value")).where("value <> ''")
+
+
+def logging_to(path: str | None = None, level: int = logging.INFO) -> logging.Logger:
+    """The engine's log on the console and in a file; repeated calls add no second handler. Executors log by Spark."""
+    log = logging.getLogger("cladeframe")
+    log.setLevel(level)
+    have = {getattr(h, "baseFilename", "") for h in log.handlers}
+    form = logging.Formatter("%(asctime)s %(levelname)s %(message)s")
+    wanted = [("", logging.StreamHandler)] + ([(str(Path(path).resolve()), lambda: logging.FileHandler(path))] if path else [])
+    for name, make in wanted:
+        if name not in have:
+            handler = make()
+            handler.setFormatter(form)
+            log.addHandler(handler)
+    return log

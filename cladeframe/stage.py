@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,21 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_ranges(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """df, staged, sorted by keys over as many ranges as there are shuffle partitions; _range numbers them in order.
+
+    Running totals then need a window in each range and one over a row per range, instead of one task for all rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id())
+    return staged(ordered, tag)
+
+
+def running_sum(df: DataFrame, keys: list[str], value: str, name: str, tag: str) -> DataFrame:
+    """df with the sum of value over all rows up to this one in the order of keys, which must tell all rows apart."""
+    fixed = in_ranges(df, keys, tag)
+    before = fixed.groupBy("_range").agg(F.sum(value).alias("_sum")).selectExpr("_range", "sum(_sum) OVER (ORDER BY _range) - _sum AS _before")
+    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    return fixed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.sum(value).over(inside)).drop("_before", "_range")

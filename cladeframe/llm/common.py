@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.stage import shared_dir, staged
 
-__all__ = ["by_ids", "fresh", "global_index", "need", "shared_dir", "shuffle_partitions", "staged", "table"]
+__all__ = ["by_ids", "freed", "fresh", "global_index", "need", "release", "shared_dir", "shuffle_partitions", "staged", "table"]
 
 NO_COLUMNS = "table lacks the columns "
 
@@ -22,6 +26,28 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(NO_COLUMNS + ", ".join(missing))
 
 
+def release() -> None:
+    """Give memory that this Python worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def freed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run for mapInArrow; the worker, which Spark keeps for later tasks, gives back what a task used when it ends."""
+
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, lengthened until df has no such column: columns of ours never replace the caller's."""
     taken = {c.lower() for c in df.columns}

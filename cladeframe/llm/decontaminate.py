@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import by_ids, need, staged
+from cladeframe.llm.common import by_ids, freed, need, staged
 from cladeframe.llm.tokens import in_slices
 
 #: Positions in a window that count; each mask takes five tokens.
@@ -85,7 +85,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), longs([t.view(np.int64) for t in tokens]), longs([h.view(np.int64) for h, _ in pairs]), longs([a for _, a in pairs])], names=["item_id", "tokens", "hashes", "at"])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "item_id long, tokens array<long>, hashes array<long>, at array<long>")
+    return rows.mapInArrow(freed(run), "item_id long, tokens array<long>, hashes array<long>, at array<long>")
 
 
 def bit_set(hashes: DataFrame) -> np.ndarray:
@@ -99,7 +99,7 @@ def bit_set(hashes: DataFrame) -> np.ndarray:
             bits[(h * _SECOND) >> np.uint64(64 - FILTER)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    sets = hashes.coalesce(8).mapInArrow(run, "bits binary").collect()
+    sets = hashes.coalesce(8).mapInArrow(freed(run), "bits binary").collect()
     out = np.zeros(1 << FILTER >> 3, np.uint8)
     for r in sets:
         out |= np.frombuffer(r["bits"], np.uint8)
@@ -137,7 +137,7 @@ def regions(docs: DataFrame, bits: np.ndarray, short: tuple[int, ...] = ()) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *lists], names=["doc_id", "start", "tokens", "hashes", "at"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, tokens array<long>, hashes array<long>, at array<long>")
+    return rows.mapInArrow(freed(run), "doc_id long, start long, tokens array<long>, hashes array<long>, at array<long>")
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, float] | None:
@@ -191,7 +191,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=["doc_id", "item_id", "start", "end", "similarity"])
 
     ordered = pairs.select("doc_id", "item_id", "start", "doc_tokens", "item_tokens", "shift")
-    return ordered.mapInArrow(verify, "doc_id long, item_id long, start long, end long, similarity double")
+    return ordered.mapInArrow(freed(verify), "doc_id long, item_id long, start long, end long, similarity double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

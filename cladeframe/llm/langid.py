@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import need
+from cladeframe.llm.common import freed, need
 from cladeframe.llm.tokens import in_slices
 
 BUCKETS = 1 << 13
@@ -140,7 +140,7 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CLUSTERS) -> C
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1)), pa.array(np.append(total, n))], names=["bucket", "n"])
 
-    found = rows.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    found = rows.select("text").mapInArrow(freed(frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(BUCKETS + 1)
     for r in found:
         df[r["bucket"]] = r["n"]
@@ -160,7 +160,7 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CLUSTERS) -> C
                 packed = [(at := np.flatnonzero(row)).astype(np.int32).tobytes() + row[at].astype(np.int32).tobytes() for row in counts]
                 yield pa.RecordBatch.from_arrays([langs.slice(first, len(texts)), pa.array(letters), pa.array(packed, pa.binary())], names=["lang", "letters", "packed"])
 
-    sample = rows.where(part < share).select("lang", "text").mapInArrow(sparse, "lang string, letters long, packed binary").orderBy("lang", "packed").collect()
+    sample = rows.where(part < share).select("lang", "text").mapInArrow(freed(sparse), "lang string, letters long, packed binary").orderBy("lang", "packed").collect()
     by: dict[str, list] = {}
     for r in sample:
         if r["letters"]:
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(freed(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def held_out(key: Column) -> Column:
@@ -242,7 +242,7 @@ def keep_known(docs: DataFrame, model: Centroids | None = None) -> DataFrame:
                 keep[first : first + len(some)] = ~model.predict(some)[2]
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import need, shuffle_partitions, staged
+from cladeframe.llm.common import freed, need, shuffle_partitions, staged
 from cladeframe.llm.tokens import default_tokenizer, encoder, slices
 
 CAPACITY = 4096
 END_ID = 1
 #: Bytes of text that a worker tokenises at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Pieces in a group, on average.
 GROUP = 4096
 ISLANDS = 2
@@ -64,7 +64,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, PIECE_SCHEMA)
+    return rows.mapInArrow(freed(run), PIECE_SCHEMA)
 
 
 class Packing:

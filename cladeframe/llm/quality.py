@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import need
+from cladeframe.llm.common import freed, need
 from cladeframe.llm.tokens import in_slices
 
 #: Rows the scorer is fitted on at most; the label model uses the votes on all rows.
@@ -194,7 +194,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["pattern", "n"])
 
-    got = texts.select("text").mapInArrow(count, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    got = texts.select("text").mapInArrow(freed(count), "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     patterns = np.array([np.frombuffer(bytes(r["pattern"]), np.int8) for r in got]) if got else np.zeros((0, len(LABELLERS)), np.int8)
     counts = np.array([r["n"] for r in got], float)
     labels = fit_labels(patterns, counts)
@@ -210,7 +210,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
                 rows = [features(t, w, tuple(s)).astype(np.int32).tobytes() for t, w, s in zip(some, words, stats, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), pa.array(rows, pa.binary()), pa.array(post)], names=["h", "features", "posterior"])
 
-    fitted = sample.mapInArrow(sparse, "h long, features binary, posterior double").dropDuplicates(["h"]).orderBy("h").limit(fit_rows).collect()
+    fitted = sample.mapInArrow(freed(sparse), "h long, features binary, posterior double").dropDuplicates(["h"]).orderBy("h").limit(fit_rows).collect()
     weights = fit_scorer([np.frombuffer(bytes(r["features"]), np.int32) for r in fitted], np.array([r["posterior"] for r in fitted]))
     return Scorer(labels, weights)
 
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Scorer | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(posterior), pa.array(quality), pa.array(quality >= 0.5)], names=["doc_id", "posterior", "quality", "keep"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, posterior double, quality double, keep boolean")
+    return rows.mapInArrow(freed(run), "doc_id long, posterior double, quality double, keep boolean")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ give pairs to begin with, such as those of an index of fingerprints: they are co
 
 from __future__ import annotations
 
-import ctypes
 import itertools
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import BROADCAST_IDS, by_ids, need, staged
+from cladeframe.llm.common import BROADCAST_IDS, by_ids, freed, need, staged
 from cladeframe.llm.components import components
 from cladeframe.llm.tokens import in_slices
 
@@ -66,13 +65,6 @@ def majority_bits(hashes: list[np.ndarray]) -> np.ndarray:
     return fp
 
 
-def release() -> None:
-    """Give memory that earlier tasks of this Python worker have used back to the system."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays)))
 
@@ -91,7 +83,7 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
     step = max(1, min(SAMPLE, docs.count() // LEAST_ROWS))
     some = _rows(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    counts = staged(some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2"), "common-shingles")
+    counts = staged(some.mapInArrow(freed(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2"), "common-shingles")
     least = 2
     while counts.where(F.col("n") > least).count() > COMMON:
         least *= 2
@@ -108,7 +100,6 @@ def prefixes(docs: DataFrame, words: int, similar: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as digest
 
-        release()
         for batch in batches:
             for first, texts in in_slices(batch.column(1)):
                 nodes, sizes, firsts = [], [], []
@@ -124,7 +115,7 @@ def prefixes(docs: DataFrame, words: int, similar: float) -> DataFrame:
                     firsts.append(h[: len(h) - int(np.ceil(similar * len(h) - EPS)) + 1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps.view(np.int64)), _lists(firsts)], names=["doc_id", "node", "size", "fp", "prefix"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, node long, size long, fp long, prefix array<long>")
+    return _rows(docs).mapInArrow(freed(run), "doc_id long, node long, size long, fp long, prefix array<long>")
 
 
 def _may_match(a: str, b: str, similar: float) -> Column:
@@ -153,13 +144,11 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, least: DataFrame, repeated:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as digest
 
-        release()
         for batch in batches:
             for first, texts in in_slices(batch.column(1)):
                 own = [shingle_set(t, words) for t in texts]
                 nodes = np.array([digest(h.tobytes(), SEED) for h in own], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(nodes), _lists(own)], names=["doc_id", "node", "set"])
-        release()
 
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = staged(least.join(nodes, "node").select(F.col("node").alias("_node"), F.col("doc_id").alias("_id")), "compared")
@@ -167,7 +156,7 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, least: DataFrame, repeated:
     # Rows without an id are few or none; all of them are read.
     rows = by_ids(docs.select("doc_id", "text"), ids, "left_semi").unionByName(docs.select("doc_id", "text").where("doc_id IS NULL"))
     few = wanted.count() <= BROADCAST_IDS
-    known = _rows(rows).mapInArrow(sets, "doc_id long, node long, set array<long>").join(F.broadcast(wanted) if few else wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    known = _rows(rows).mapInArrow(freed(sets), "doc_id long, node long, set array<long>").join(F.broadcast(wanted) if few else wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     known = staged(known.select("node", "set"), "sets")
     if not repeated.isEmpty():
         known = known.join(repeated, "node", "left_anti").unionByName(known.join(repeated, "node", "left_semi").dropDuplicates(["node"]))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import by_ids, need, shuffle_partitions, staged
+from cladeframe.llm.common import by_ids, freed, need, shuffle_partitions, staged
 from cladeframe.llm.components import components
 from cladeframe.llm.shingles import majority_bits, shingle_hashes, similar_groups
 from cladeframe.llm.tokens import in_slices
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, FINGERPRINTS)
+    return rows.mapInArrow(freed(run), FINGERPRINTS)
 
 
 def gray_rank(fp: Column) -> Column:
@@ -190,7 +190,7 @@ def links(distinct: DataFrame, bits: int = BITS, cell: int = CELL, chunk: int =
             yield out
 
     sorted_cells = cells.repartition(shuffle_partitions(spark), "t", "key", "i", "j").withColumn("rank", gray_rank(F.col("fp"))).sortWithinPartitions("t", "key", "i", "j", "rank")
-    return sorted_cells.select("fp", "t", "key", "i", "j").mapInArrow(run, "a long, b long")
+    return sorted_cells.select("fp", "t", "key", "i", "j").mapInArrow(freed(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, cell: int = CELL, chunk: int = CHUNK) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks remembered by one Python worker; beyond it those seen once are forgotten. Results don't depend on it.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 _SEPARATOR = "\x01"
 #: Punctuation between an ASCII letter and white space is a token group of its own; a space before it changes no id.
 _TAIL = r"([a-z])([!-&(-/:-@\[-`{-~]+)([ \t\n\r])"
@@ -46,8 +46,8 @@ def chunk_lists(texts: pa.Array) -> pa.ListArray:
     """
     texts = pc.fill_null(texts, b"")
     odd = pc.or_(pc.match_substring(texts, b"<|"), pc.or_(pc.match_substring(texts, b"\xcc"), pc.match_substring(texts, b"\xcd")))
-    low = pc.ascii_lower(texts.view(pa.string())).view(pa.binary())
-    plain = pc.replace_substring_regex(low, _TAIL, r"\1 \2\3")
+    plain = pc.ascii_lower(texts.view(pa.string())).view(pa.binary())
+    plain = pc.replace_substring_regex(plain, _TAIL, r"\1 \2\3")
     if pc.any(odd).as_py():
         plain = pc.if_else(odd, texts, plain)
     return pc.ascii_split_whitespace(plain.view(pa.string()))
@@ -61,15 +61,14 @@ class ChunkIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # The same model for chunks that neither the normaliser nor the splitting changes.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = None
+        # The same model, shared, for chunks that neither the normaliser nor the splitting changes.
+        self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         (self.separator,) = self._encode(self.tokenizer, _SEPARATOR).tolist()
         self.simple = self._agrees()
         self.known = pa.array([], pa.binary())
         self.flat = np.empty(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)  # ends[i+1] is where the i-th chunk's ids end
+        self.ends = np.zeros(1, np.int32)  # ends[i+1] is where the i-th chunk's ids end
         self.seen = np.zeros(0, np.int32)
 
     @staticmethod
@@ -87,7 +86,7 @@ class ChunkIds:
         ends = np.concatenate([[0], np.cumsum(length)])
         self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.ends[keep] - ends[:-1], length)]
         self.known = self.known.take(pa.array(keep))
-        self.ends, self.seen = ends, np.ones(len(keep), np.int32)
+        self.ends, self.seen = ends.astype(np.int32), np.ones(len(keep), np.int32)
 
     def _add(self, chunks: pa.Array, tokenizer, each: bool) -> None:
         """Encode new chunks, many at once with a separator between them unless each goes alone."""
@@ -107,7 +106,7 @@ class ChunkIds:
                 lengths.append(np.array(list(map(len, alone))))
         self.known = pa.concat_arrays([self.known, chunks])
         self.flat = np.concatenate(flats)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(lengths))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(lengths))]).astype(np.int32)
         self.seen = np.concatenate([self.seen, np.zeros(len(chunks), np.int32)])
 
     def _learn(self, chunks: pa.Array) -> None:
@@ -121,7 +120,9 @@ class ChunkIds:
         if len(self.known) > REMEMBERED:
             self._forget()
         lists = chunk_lists(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+        cut = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
+        del lists
         # Each distinct chunk is looked up once a slice; all else is arithmetic on arrays.
         own = coded.dictionary.view(pa.binary())
         at = pc.index_in(own, value_set=self.known)
@@ -132,11 +133,11 @@ class ChunkIds:
         self.seen[at] += 1  # once for a slice, however often it has the chunk
         which = coded.indices.to_numpy()
         length = (self.ends[at + 1] - self.ends[at])[which]
-        total = np.concatenate([[0], np.cumsum(length)])
+        total = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
         place = np.repeat(self.ends[at][which] - total[:-1], length)
-        place += np.arange(total[-1])
+        place += np.arange(total[-1], dtype=np.int32)
         flat = self.flat[place]
-        cut = total[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        cut = total[cut]
         return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,16 +22,44 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df, computed once: later plans read its files, also after an executor is lost. The files go with the application."""
+#: The files staged in each open scratch scope, the outermost first.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def staged(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
+    """df, computed once: later plans read its files, also after an executor is lost.
+
+    The files go with the scratch scope they are staged in, lasting ones with the scope around it, all with the application.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    scopes = _scopes.get()[:-1] if lasting else _scopes.get()
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Files staged inside are removed at the end, so a result that outlives the scope must be staged as lasting."""
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in own:
+            _remove(spark, path)
+
+
 def in_ranges(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
     """df, staged, sorted by keys over as many ranges as there are shuffle partitions; _range numbers them in order.
 

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.stage import shared_dir, staged
+from cladeframe.stage import scratch, shared_dir, staged
 
-__all__ = ["by_ids", "freed", "fresh", "global_index", "need", "release", "shared_dir", "shuffle_partitions", "staged", "table"]
+__all__ = ["by_ids", "freed", "fresh", "global_index", "need", "release", "scratch", "shared_dir", "shuffle_partitions", "staged", "table"]
 
 NO_COLUMNS = "table lacks the columns "
 

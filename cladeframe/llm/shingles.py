@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import BROADCAST_IDS, by_ids, freed, need, staged
+from cladeframe.llm.common import BROADCAST_IDS, by_ids, freed, need, scratch, staged
 from cladeframe.llm.components import components
 from cladeframe.llm.tokens import in_slices
 
@@ -26,8 +26,8 @@ SEED = 42
 LEAST_ROWS, SAMPLE = 20_000, 16
 #: Shingles held as common by each worker at most: 16 MB.
 COMMON = 1_000_000
-#: Cells of at most so many sets compare all pairs at once; larger ones begin with pairs of two of them with all others.
-SMALL, PIVOT_ROUNDS = 16, 3
+#: Cells of more sets than SMALL begin with pairs of one of them with all others, in PIVOT_ROUNDS rounds; then all left in them that are still apart are paired.
+SMALL, PIVOT_ROUNDS = 2, 4
 #: Slack for rounding in bounds; it only lets more pairs be compared.
 EPS = 1e-6
 
@@ -126,20 +126,24 @@ def _may_match(a: str, b: str, similar: float) -> Column:
 
 
 def candidates(cells: DataFrame, similar: float, small: int | None) -> DataFrame:
-    """Pairs (a < b) of unlinked nodes to compare. Cells (key, me: node, size, at, component; n, low, high) above small only pair their two pivots with all."""
-    few = F.lit(True) if small is None else F.col("n") <= small
-    x = cells.where(few).select("key", F.col("me").alias("x"))
-    y = cells.where(few).select("key", F.col("me").alias("y"))
+    """Pairs (a < b) of unlinked nodes to compare. Cells (key, me: node, size, at, component; n, low) above small only pair low with all."""
     apart = (F.col("x.component") != F.col("y.component")) & _may_match("x", "y", similar)
-    pairs = [x.join(y, "key").where((F.col("x.node") < F.col("y.node")) & apart).select("x.node", "y.node")]
+    pairs = []
+    if small is None or small > 2:
+        few = cells if small is None else cells.where(F.col("n") <= small)
+        x, y = (few.select("key", F.col("me").alias(name)) for name in "xy")
+        pairs.append(x.join(y, "key").where((F.col("x.node") < F.col("y.node")) & apart).select("x.node", "y.node"))
     if small is not None:
-        pairs += [cells.where(~few).select(F.col(p).alias("x"), F.col("me").alias("y")).where((F.col("x.node") != F.col("y.node")) & apart).select("x.node", "y.node") for p in ("low", "high")]
+        # A cell of two is the pair of its low with the other. low has the smallest node, mostly the same one in all
+        # cells of a group of near copies, so its pairs are the same too.
+        rest = cells if small <= 2 else cells.where(F.col("n") > small)
+        pairs.append(rest.select(F.col("low").alias("x"), F.col("me").alias("y")).where((F.col("x.node") != F.col("y.node")) & apart).select("x.node", "y.node"))
     both = reduce(DataFrame.union, pairs).toDF("x", "y")
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def similar_pairs(pairs: DataFrame, docs: DataFrame, least: DataFrame, repeated: DataFrame, words: int, similar: float) -> DataFrame:
-    """Those pairs of nodes whose whole sets of shingles are similar. least: node, doc_id of a row that has the node; repeated: nodes of which that isn't one row."""
+    """Those pairs of nodes whose whole sets of shingles are similar, staged. least: node, doc_id of a row that has the node; repeated: nodes of which that isn't one row."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as digest
@@ -150,18 +154,19 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, least: DataFrame, repeated:
                 nodes = np.array([digest(h.tobytes(), SEED) for h in own], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(nodes), _lists(own)], names=["doc_id", "node", "set"])
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = staged(least.join(nodes, "node").select(F.col("node").alias("_node"), F.col("doc_id").alias("_id")), "compared")
-    ids = staged(wanted.select("_id").distinct(), "compared-ids")
-    # Rows without an id are few or none; all of them are read.
-    rows = by_ids(docs.select("doc_id", "text"), ids, "left_semi").unionByName(docs.select("doc_id", "text").where("doc_id IS NULL"))
-    few = wanted.count() <= BROADCAST_IDS
-    known = _rows(rows).mapInArrow(freed(sets), "doc_id long, node long, set array<long>").join(F.broadcast(wanted) if few else wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    known = staged(known.select("node", "set"), "sets")
-    if not repeated.isEmpty():
-        known = known.join(repeated, "node", "left_anti").unionByName(known.join(repeated, "node", "left_semi").dropDuplicates(["node"]))
-    met = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("p")), "a").join(known.select(F.col("node").alias("b"), F.col("set").alias("q")), "b")
-    return met.where((1 + similar) * F.size(F.array_intersect("p", "q")) >= similar * (F.size("p") + F.size("q")) - EPS).select("a", "b")
+    with scratch(docs.sparkSession):
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = staged(least.join(nodes, "node").select(F.col("node").alias("_node"), F.col("doc_id").alias("_id")), "compared")
+        ids = staged(wanted.select("_id").distinct(), "compared-ids")
+        # Rows without an id are few or none; all of them are read.
+        rows = by_ids(docs.select("doc_id", "text"), ids, "left_semi").unionByName(docs.select("doc_id", "text").where("doc_id IS NULL"))
+        few = wanted.count() <= BROADCAST_IDS
+        known = _rows(rows).mapInArrow(freed(sets), "doc_id long, node long, set array<long>").join(F.broadcast(wanted) if few else wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        known = staged(known.select("node", "set"), "sets")
+        if not repeated.isEmpty():
+            known = known.join(repeated, "node", "left_anti").unionByName(known.join(repeated, "node", "left_semi").dropDuplicates(["node"]))
+        met = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("p")), "a").join(known.select(F.col("node").alias("b"), F.col("set").alias("q")), "b")
+        return staged(met.where((1 + similar) * F.size(F.array_intersect("p", "q")) >= similar * (F.size("p") + F.size("q")) - EPS).select("a", "b"), "similar-pairs", lasting=True)
 
 
 #: From a DataFrame of distinct fingerprints (column fp) to links (a, b) between them.
@@ -185,9 +190,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similar: float = 0.8, small:
 
     Texts without words are one group. Sets that are equal are one node. A link is only sought between nodes not yet
     connected, so a large group of near copies costs its size, not its square. With index, the pairs it proposes are
-    compared first; the groups are the same. Null doc_ids never name a group that has another.
+    compared first; the groups are the same. Null doc_ids never name a group that has another. The result is staged.
     """
     need(docs, "doc_id", "text")
+    with scratch(docs.sparkSession):
+        return staged(_similar_groups(docs, words, similar, small, index), "near-duplicates", lasting=True)
+
+
+def _similar_groups(docs: DataFrame, words: int, similar: float, small: int, index: Index | None) -> DataFrame:
     marked = staged(prefixes(docs, words, similar), "prefixes")
     least = staged(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     repeated = staged(marked.groupBy("node", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select("node").distinct(), "repeated-nodes")
@@ -200,7 +210,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similar: float = 0.8, small:
     named = least.select("node", F.col("node").alias("component"))
 
     def connected(pairs: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        found = staged(similar_pairs(pairs, docs, least, repeated, words, similar), "similar-pairs")
+        found = similar_pairs(pairs, docs, least, repeated, words, similar)
         found = found if before is None else before.unionByName(found)
         linked = components(found)
         return found, staged(least.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
@@ -212,17 +222,19 @@ def similar_groups(docs: DataFrame, words: int = 5, similar: float = 0.8, small:
     open_ = cells.join(named, "node")
     for number in itertools.count(1):
         own = open_.select("key", F.struct("node", "size", "at", "component").alias("me"))
-        of_key = own.groupBy("key").agg(F.count("*").alias("n"), F.min("me").alias("low"), F.max("me").alias("high"), F.min("me.component").alias("c"), F.max("me.component").alias("d"))
+        of_key = own.groupBy("key").agg(F.count("*").alias("n"), F.min("me").alias("low"), F.min("me.component").alias("c"), F.max("me.component").alias("d"))
         cells = staged(own.join(of_key.where("c <> d").drop("c", "d"), "key"), "open-cells")
         most = small if number <= PIVOT_ROUNDS else None
         pairs = staged(candidates(cells, similar, most), "candidates")
         if not pairs.isEmpty():
             links, named = connected(pairs, links)
-        # The pivots of a large cell have met all others; small cells are done.
-        open_ = cells.where((F.col("n") > most) & (F.col("me.node") != F.col("low.node")) & (F.col("me.node") != F.col("high.node"))) if most is not None else cells.limit(0)
-        if open_.isEmpty():
+        if most is None:
+            break
+        # The pivot of a large cell has met all others; small cells are done.
+        left = cells.where((F.col("n") > most) & (F.col("me.node") != F.col("low.node")))
+        if left.isEmpty():
             break
-        open_ = open_.select("key", "me.node", "me.size", "me.at").join(named, "node")
+        open_ = left.select("key", "me.node", "me.size", "me.at").join(named, "node")
     ids = named.join(least, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = named.join(ids, "component").select("node", "component_id")
     return marked.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")

@@ -218,8 +218,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, bits: int = BITS, similar: flo
     empty table stays empty.
     """
     texts = docs.select("doc_id", "text")
-    found = near_duplicates(texts, words, bits) if similar is None else similar_groups(texts, words, similar, index=lambda fps: links(fps, bits))
-    groups = staged(found, "near-duplicates").where("doc_id IS NOT NULL")
+    found = staged(near_duplicates(texts, words, bits), "near-duplicates") if similar is None else similar_groups(texts, words, similar, index=lambda fps: links(fps, bits))
+    groups = found.where("doc_id IS NOT NULL")
     gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     repeated = staged(groups.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"), "repeated")
     left = by_ids(docs, gone, "left_anti")

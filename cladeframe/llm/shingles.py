@@ -126,7 +126,7 @@ def _may_match(a: str, b: str, similar: float) -> Column:
 
 
 def candidates(cells: DataFrame, similar: float, small: int | None) -> DataFrame:
-    """Pairs (a < b) of unlinked nodes to compare. Cells (key, me: node, size, at, component; n, low) above small only pair low with all."""
+    """Pairs (a < b) of unlinked nodes to compare. Cells (key, me: at, node, size, component; n, low) above small only pair low with all."""
     apart = (F.col("x.component") != F.col("y.component")) & _may_match("x", "y", similar)
     pairs = []
     if small is None or small > 2:
@@ -134,8 +134,8 @@ def candidates(cells: DataFrame, similar: float, small: int | None) -> DataFrame
         x, y = (few.select("key", F.col("me").alias(name)) for name in "xy")
         pairs.append(x.join(y, "key").where((F.col("x.node") < F.col("y.node")) & apart).select("x.node", "y.node"))
     if small is not None:
-        # A cell of two is the pair of its low with the other. low has the smallest node, mostly the same one in all
-        # cells of a group of near copies, so its pairs are the same too.
+        # A cell of two is the pair of its low with the other. low has the fewest rarer shingles before the key: in a group
+        # of near copies it is the text that the others vary, the same one in most cells, so its pairs are the same too.
         rest = cells if small <= 2 else cells.where(F.col("n") > small)
         pairs.append(rest.select(F.col("low").alias("x"), F.col("me").alias("y")).where((F.col("x.node") != F.col("y.node")) & apart).select("x.node", "y.node"))
     both = reduce(DataFrame.union, pairs).toDF("x", "y")
@@ -221,7 +221,7 @@ def _similar_groups(docs: DataFrame, words: int, similar: float, small: int, ind
             links, named = connected(first_pairs, links)
     open_ = cells.join(named, "node")
     for number in itertools.count(1):
-        own = open_.select("key", F.struct("node", "size", "at", "component").alias("me"))
+        own = open_.select("key", F.struct("at", "node", "size", "component").alias("me"))
         of_key = own.groupBy("key").agg(F.count("*").alias("n"), F.min("me").alias("low"), F.min("me.component").alias("c"), F.max("me.component").alias("d"))
         cells = staged(own.join(of_key.where("c <> d").drop("c", "d"), "key"), "open-cells")
         most = small if number <= PIVOT_ROUNDS else None

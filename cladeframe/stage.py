@@ -31,6 +31,21 @@ def _remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Spark's setting that removes a query's shuffle files when the query has ended, and not when the driver next collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> None:
+    """df written to path; nothing reads its shuffle files after that, so they go."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
+
+
 def staged(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
     """df, computed once: later plans read its files, also after an executor is lost.
 
@@ -38,7 +53,7 @@ def staged(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _write(df, path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     scopes = _scopes.get()[:-1] if lasting else _scopes.get()

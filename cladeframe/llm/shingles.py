@@ -142,6 +142,13 @@ def candidates(cells: DataFrame, similar: float, small: int | None) -> DataFrame
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def once(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One row for each node; only those of repeated (staged) can have more."""
+    if repeated.isEmpty():
+        return rows
+    return rows.join(repeated, "node", "left_anti").unionByName(rows.join(repeated, "node", "left_semi").dropDuplicates(["node"]))
+
+
 def similar_pairs(pairs: DataFrame, docs: DataFrame, least: DataFrame, repeated: DataFrame, words: int, similar: float) -> DataFrame:
     """Those pairs of nodes whose whole sets of shingles are similar, staged. least: node, doc_id of a row that has the node; repeated: nodes of which that isn't one row."""
 
@@ -163,12 +170,26 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, least: DataFrame, repeated:
         few = wanted.count() <= BROADCAST_IDS
         known = _rows(rows).mapInArrow(freed(sets), "doc_id long, node long, set array<long>").join(F.broadcast(wanted) if few else wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
         known = staged(known.select("node", "set"), "sets")
-        if not repeated.isEmpty():
-            known = known.join(repeated, "node", "left_anti").unionByName(known.join(repeated, "node", "left_semi").dropDuplicates(["node"]))
+        known = once(known, repeated)
         met = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("p")), "a").join(known.select(F.col("node").alias("b"), F.col("set").alias("q")), "b")
         return staged(met.where((1 + similar) * F.size(F.array_intersect("p", "q")) >= similar * (F.size("p") + F.size("q")) - EPS).select("a", "b"), "similar-pairs", lasting=True)
 
 
+def may_overlap(pairs: DataFrame, one: DataFrame, similar: float) -> DataFrame:
+    """Those pairs of nodes whose prefixes share enough for their whole sets to be similar, staged. one: node, size, prefix.
+
+    Of two prefixes, one ends no later in the order of all shingles: what both sets share up to there is in both prefixes,
+    and beyond it that set has only its rest. So shared shingles of prefixes, and the larger rest, bound what is shared.
+    """
+    with scratch(one.sparkSession):
+        nodes = staged(pairs.select(F.col("a").alias("_met")).union(pairs.select("b")).distinct(), "met")
+        firsts = staged(by_ids(one, nodes, "left_semi", "node").select("node", F.struct("size", "prefix").alias("of")), "met-prefixes")
+        met = pairs.join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b")
+        rest = F.greatest(*[F.col(f"{s}.size") - F.size(f"{s}.prefix") for s in "xy"])
+        most = F.size(F.array_intersect("x.prefix", "y.prefix")) + rest
+        return staged(met.where((1 + similar) * most >= similar * (F.col("x.size") + F.col("y.size")) - EPS).select("a", "b"), "possible-pairs", lasting=True)
+
+
 #: From a DataFrame of distinct fingerprints (column fp) to links (a, b) between them.
 Index = Callable[[DataFrame], DataFrame]
 
@@ -198,19 +219,24 @@ def similar_groups(docs: DataFrame, words: int = 5, similar: float = 0.8, small:
 
 
 def _similar_groups(docs: DataFrame, words: int, similar: float, small: int, index: Index | None) -> DataFrame:
-    marked = staged(prefixes(docs, words, similar), "prefixes")
-    least = staged(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    repeated = staged(marked.groupBy("node", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select("node").distinct(), "repeated-nodes")
-    first = least.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"))
-    one = marked.join(first, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "size", F.posexplode("prefix").alias("at", "key"))
+    with scratch(docs.sparkSession):
+        whole = staged(prefixes(docs, words, similar), "prefixes")
+        marked = staged(whole.drop("prefix"), "marked", lasting=True)
+        least = staged(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes", lasting=True)
+        first = least.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"))
+        # Rows that repeat an id and a text give a node several times, with the same prefix.
+        repeated = staged(marked.groupBy("node", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select("node").distinct(), "repeated-nodes", lasting=True)
+        of_least = whole.join(first, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        one = staged(once(of_least.select("node", "size", "prefix"), repeated), "node-prefixes", lasting=True)
     in_cell = Window.partitionBy("key").orderBy("node")
-    met = one.withColumns({"before": F.lag("node").over(in_cell), "after": F.lead("node").over(in_cell)}).where("before <> node OR after <> node")
+    dealt = one.select("node", "size", F.posexplode("prefix").alias("at", "key"))
+    met = dealt.withColumns({"before": F.lag("node").over(in_cell), "after": F.lead("node").over(in_cell)}).where("before <> node OR after <> node")
     cells = staged(met.select("key", "node", "size", "at"), "cells")
     links: DataFrame | None = None
     named = least.select("node", F.col("node").alias("component"))
 
     def connected(pairs: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        found = similar_pairs(pairs, docs, least, repeated, words, similar)
+        found = similar_pairs(may_overlap(pairs, one, similar), docs, least, repeated, words, similar)
         found = found if before is None else before.unionByName(found)
         linked = components(found)
         return found, staged(least.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")

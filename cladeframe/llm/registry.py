@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeframe.llm import decontaminate, langid, neighbours, packing, pii, quality, quotes, secrets, sharding, simhash
-
+from cladeframe.llm import audit, decontaminate, langid, mixing, neighbours, packing, pii, quality, quotes, secrets, sharding, simhash
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +25,8 @@ QUERIES = {
     "op6_nndescent": neighbours.op6_nndescent,
     "op7_secrets": secrets.op7_secrets,
     "op8_hilbert": sharding.op8_hilbert,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op12_mixing": mixing.op12_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_filter_audit": audit.SQL, "op12_mixing": mixing.SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.operators.sets import orphans
+from cladeframe.operators.stats import group_medians
 
 #: What each line of evidence adds to the score, added in this order.
 WEIGHTS = (("internal_stops", 0.40), ("length_ratio", 0.35), ("truncated", 0.30), ("orphan", 0.25), ("zscore", 0.25), ("distance_ratio", 0.20))
@@ -34,7 +35,7 @@ def length_discrepancies(proteins: DataFrame, cds: DataFrame, gene: str, protein
 
 def truncated(genes: DataFrame, gene: str, family: str, length: str, threshold: float = 0.5) -> DataFrame:
     """Genes shorter than a share of their family's exact median length."""
-    medians = genes.groupBy(family).agg(F.median(length).alias("_median"))
+    medians = group_medians(genes, [family], length, "_median")
     return genes.join(medians, family).where(F.col(length) < F.lit(threshold) * F.col("_median")).select(gene, F.lit(True).alias("truncated"))
 
 
@@ -60,7 +61,7 @@ def composition_outliers(genes: DataFrame, gene: str, species: str, share: str,
 
 def distance_outliers(leaves: DataFrame, tree: str, gene: str, root_to_tip: str, ratio: float = 3.0, min_leaves: int = 3) -> DataFrame:
     """Leaves further from the root than ratio times their tree's median."""
-    stats = leaves.groupBy(tree).agg(F.median(root_to_tip).alias("_median"), F.count("*").alias("_n"))
+    stats = group_medians(leaves, [tree], root_to_tip, "_median").join(leaves.groupBy(tree).agg(F.count("*").alias("_n")), tree)
     met = leaves.join(stats.where((F.col("_n") >= min_leaves) & (F.col("_median") > 0)), tree)
     far = met.withColumn("distance_ratio", F.col(root_to_tip) / F.col("_median")).where(F.col("distance_ratio") > ratio)
     return far.groupBy(gene).agg(F.max("distance_ratio").alias("distance_ratio"))

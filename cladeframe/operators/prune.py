@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.operators.stats import group_medians
+
 EPS = 1e-9
 
 
@@ -23,9 +25,10 @@ def pair_ratios(leaves: DataFrame, distances: DataFrame, expected: DataFrame) ->
 def relative_scores(leaves: DataFrame, ratios: DataFrame) -> DataFrame:
     """family, gene, s_raw, s_norm: the exact median of a gene's ratios, and that over the median of its family's pairs.
 
-    A pair counts once for its family and once for each of its genes. Genes without a ratio have 0, 0.
+    A pair counts once for its family and once for each of its genes. Genes without a ratio have 0, 0. A gene has at most a
+    ratio per leaf of its family; a family has their square.
     """
-    family = ratios.groupBy("family").agg(F.median("ratio").alias("m"))
+    family = group_medians(ratios, ["family"], "ratio", "m")
     own = ratios.select("family", F.explode(F.array("a", "b")).alias("gene"), "ratio").groupBy("family", "gene").agg(F.median("ratio").alias("s"))
     met = leaves.select("family", "gene").join(own, ["family", "gene"], "left").join(family, "family", "left")
     ok = F.col("s").isNotNull() & (F.col("m") > 0)

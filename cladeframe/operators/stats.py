@@ -26,6 +26,30 @@ def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
     return df.join(q.select(p, "q"), p, "left")
 
 
+def group_medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys and the exact median of value by key, as F.median gives it (nulls are left out), for keys of any size.
+
+    Equal values of a key are counted first; the distinct ones are dealt into ranges over all keys, so a key with
+    most rows spreads over most ranges. Counts by key and range say which one or two ranges hold a key's middle, and only
+    rows of these are ranked, each range on its own: no task holds a key.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    fixed = in_ranges(counted, [*keys, value], "medians")
+    by_range = Window.partitionBy(*keys).orderBy("_range")
+    # A row per key and range that it reaches.
+    held = fixed.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in")).withColumn("_upto", F.sum("_in").over(by_range)).withColumn("_n", F.sum("_in").over(Window.partitionBy(*keys)))
+    low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
+    middle = held.withColumns({"_low": low, "_high": high, "_before": F.col("_upto") - F.col("_in")}).where("_before <= _high AND _upto > _low")
+    middle = middle.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_before", "_low", "_high")
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(value)
+    ranked = fixed.join(middle, same).withColumn("_last", F.col("_before") + F.sum("_c").over(inside))
+    hit = ranked.where("_last > _low AND _last - _c <= _high")
+    return hit.groupBy(*keys).agg(((F.min(value) + F.max(value)) / F.lit(2.0)).alias(name))
+
+
 def mann_whitney(df: DataFrame, value: str, is_first: Column) -> DataFrame:
     """One row: n_a, n_b, u (of the first group), z, p. Ties share their mean rank; normal approximation without corrections.
 

@@ -248,3 +248,36 @@ def test_intervals(spark):
     windows = frame(spark, [("A", 165, 202), ("B", 480, 510), ("C", 490, 499)], "w string, lo int, hi int")
     got = {(r.site, r.w) for r in S.interval_overlaps(sites, "site", windows, "lo", "hi", 16).collect()}
     assert got == {(170, "A"), (200, "A"), (300, None), (500, "B")}
+
+
+def test_medians_of_groups_of_any_size(spark):
+    import random
+    import statistics
+
+    from cladeframe.operators.stats import group_medians
+
+    r = random.Random(3)
+    rows = [("hot", float(r.randrange(50)) if i % 2 else r.random()) for i in range(4001)]
+    rows += [(f"k{i % 37}", r.choice([0.5, 1.5, 2.0, None])) for i in range(1500)] + [(None, 1.0), (None, 4.0), ("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    by = {}
+    for k, v in rows:
+        if v is not None:
+            by.setdefault(k, []).append(v)
+    assert {x.k: x.m for x in group_medians(df, ["k"], "v", "m").collect()} == {k: statistics.median(v) for k, v in by.items()}
+    two = group_medians(df.withColumn("j", F.pmod(F.hash("v"), F.lit(3))), ["k", "j"], "v", "m")
+    want = df.withColumn("j", F.pmod(F.hash("v"), F.lit(3))).where("v IS NOT NULL").groupBy("k", "j").agg(F.median("v").alias("m"))
+    assert sorted(map(repr, two.select("k", "j", "m").collect())) == sorted(map(repr, want.collect()))
+    assert group_medians(df.limit(0), ["k"], "v", "m").count() == 0
+
+
+def test_a_key_with_half_of_the_rows_is_ranked_by_many_tasks(spark):
+    from cladeframe.operators.stats import group_medians
+
+    df = spark.range(20000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 97).cast("string"))).alias("k"), (F.xxhash64("id") % 1000003).cast("double").alias("v"))
+    out = group_medians(df, ["k"], "v", "m")
+    assert out.where("k = 'hot'").first().m == df.where("k = 'hot'").agg(F.median("v")).first()[0]
+    from cladeframe.stage import in_ranges
+
+    sizes = [r["n"] for r in in_ranges(df, ["k", "v"], "sizes").groupBy("_range").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2 * (sum(sizes) / len(sizes)), "the ranges that the ranks are taken in are near equal"

@@ -26,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that an operator wrote."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -72,7 +73,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _scopes.reset(token)
         for path in own:
-            _remove(spark, path)
+            remove(spark, path)
 
 
 def in_ranges(df: DataFrame, keys: list[str], tag: str) -> DataFrame:

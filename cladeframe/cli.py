@@ -110,7 +110,7 @@ def models(spark: SparkSession, a: Args) -> DataFrame:
 def windows(spark: SparkSession, a: Args) -> DataFrame:
     w = spark.read.option("header", True).option("sep", "\t").csv(a.windows)
     w = w.withColumns({c: F.col(c).try_cast("int") for c in ("start", "end")})
-    return S.interval_overlaps(X.beb_sites(spark, a.beb).select("site", "aa", "prob"), "site", w, "start", "end", 64)
+    return S.interval_overlaps(X.beb_sites(spark, a.beb).select("site", "aa", "prob"), "site", w, "start", "end")
 
 
 def orthology(spark: SparkSession, a: Args) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions.ids import dots_folded, species_of
+from cladeframe.stage import staged
 
 
 def partition_excluded(pool: DataFrame, species: str, excluded: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -84,12 +85,62 @@ def cross_species_hits(hits: DataFrame, query: str, subject: str, evalue: str, w
     return wanted.join(other.select(query).distinct(), query, "left_semi")
 
 
-def interval_overlaps(sites: DataFrame, site: str, windows: DataFrame, lo: str, hi: str, width: int) -> DataFrame:
-    """All sites, each with the windows lo..hi (inclusive) that hold it, nulls where none does.
+#: Rows of a looked-up side that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
-    Windows are written into the bins they touch, so the range join is an equi-join on the bin.
+
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """big joined with small, which has one row a key: broadcast if it is small, as counted.
+
+    Beyond that both are shuffled, but for keys with more than a share of 1/parts of big's rows: these are at most `parts`, so
+    what small knows of them is broadcast. big must be cheap to read twice (staged).
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), keys)
+    parts = parts or int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = big.groupBy(*keys).agg(F.count("*").alias("_n"))
+    most = big.count() / parts
+    hot = staged(n.where(F.col("_n") > most).select(*keys), "hot-keys")
+    met = small.join(F.broadcast(hot), keys, "left_semi")
+    rest = big.join(F.broadcast(hot), keys, "left_anti")
+    return big.join(F.broadcast(met), keys).unionByName(rest.join(small, keys))
+
+
+def interval_matches(points: DataFrame, point: str, windows: DataFrame, lo: str, hi: str, by: list[str] | None = None) -> DataFrame:
+    """Each row of points (distinct in `by` and point) with each window lo..hi (inclusive) that holds it, windows of any width.
+
+    A window of n positions lies in one or two bins of the smallest power of two that isn't below n; a point looks into its
+    bin of each width that any window has, 63 at most. Half of a bin at least is the window's, so what is looked at and
+    thrown away stays in proportion to the result. Windows without a bound, or that end before they begin, hold nothing.
+    """
+    by = by or []
+    n = F.col(hi).cast("long") - F.col(lo).cast("long")
+    known = windows.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi)))
+    sized = known.withColumn("_level", F.when(n == 0, F.lit(0)).otherwise(F.length(F.bin(n))))
+    bin_of = lambda c: F.expr(f"shiftright(CAST(`{c}` AS BIGINT), _level)")
+    spread = sized.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(lo), bin_of(hi)))))
+    # One row: the widths there are.
+    levels = sized.agg(F.collect_set("_level").alias("_levels"))
+    at = points.where(F.col(point).isNotNull()).crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels")).drop("_levels").withColumn("_bin", bin_of(point))
+    inside = (F.col(point) >= F.col(lo)) & (F.col(point) <= F.col(hi))
+    return at.join(spread, [*by, "_level", "_bin"]).where(inside).drop("_level", "_bin")
+
+
+def interval_overlaps(sites: DataFrame, site: str, windows: DataFrame, lo: str, hi: str, by: list[str] | None = None) -> DataFrame:
+    """All sites, each with the windows that hold it, nulls where none does; by: columns that must agree, as a contig.
+
+    A site's position is looked up once however many sites share it.
     """
-    bins = F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
-    spread = windows.withColumn("_bin", bins)
-    at = sites.withColumn("_bin", F.floor(F.col(site) / width))
-    return at.join(spread, (at["_bin"] == spread["_bin"]) & (at[site] >= spread[lo]) & (at[site] <= spread[hi]), "left").drop("_bin")
+    by = by or []
+    met = interval_matches(sites.select(*by, site).distinct(), site, windows, lo, hi, by)
+    return sites.join(met, [*by, site], "left")
+
+
+def crossed_windows(sites: DataFrame, site: str, windows: DataFrame, lo: str, hi: str, seq: str, signal: str, by: list[str] | None = None) -> DataFrame:
+    """All sites with n_windows, the sequences of their windows in order, and the windows' signals (empty ones left out)."""
+    by = by or []
+    met = interval_matches(sites.select(*by, site).distinct(), site, windows, lo, hi, by)
+    # Counted by sequence and signal first: the lists hold each of them once.
+    few = met.groupBy(*by, site, seq, signal).agg(F.count("*").alias("_n"))
+    said = few.groupBy(*by, site).agg(F.sum("_n").alias("n_windows"), F.array_join(F.array_sort(F.collect_set(seq)), ",").alias("window_seqs"), F.array_join(F.array_sort(F.collect_set(F.nullif(F.col(signal), F.lit("")))), ";").alias("signals"))
+    return sites.join(said, [*by, site], "left").na.fill(0, ["n_windows"]).na.fill("", ["window_seqs", "signals"])

@@ -223,11 +223,25 @@ def interval_overlap_left(spark, sf_dir):
     # Windows and sites repeat: each pair of bounds and each size is joined once, with what it stands for counted.
     w = w.groupBy("lo", "hi").agg(F.count("*").alias("many"), F.min("win").alias("win"))
     p = t(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("size"))
-    met = S.interval_overlaps(p.select("size").distinct(), "size", w, "lo", "hi", 8)
+    met = S.interval_overlaps(p.select("size").distinct(), "size", w, "lo", "hi")
     n = met.groupBy("size").agg(F.coalesce(F.sum("many"), F.lit(0)).alias("n_windows"), F.coalesce(F.min("win"), F.lit(-1)).alias("first_window"))
     return p.join(n, "size").select(F.col("p_partkey").alias("site"), "n_windows", "first_window")
 
 
+@query(
+    """WITH w AS (SELECT l_orderkey AS win, CAST(round(l_extendedprice * 100) AS BIGINT) * 100 AS lo, CAST(round(l_extendedprice * 100) AS BIGINT) * 100 + CAST(pow(10, l_linenumber) AS BIGINT) - CAST(l_quantity AS BIGINT) % 10 - 1 AS hi FROM lineitem),
+s AS (SELECT o_orderkey AS site, CAST(round(o_totalprice * 100) AS BIGINT) * 20 AS pos FROM orders)
+SELECT site, count(win) AS n_windows, min(hi - lo) AS narrowest, max(hi - lo) AS widest FROM s LEFT JOIN w ON pos BETWEEN lo AND hi GROUP BY site"""
+)
+def interval_overlap_scales(spark, sf_dir):
+    """Windows from one position to ten million of a line of a billion, all by one join."""
+    lo = F.round(F.col("l_extendedprice") * 100).cast("long") * 100
+    w = t(spark, sf_dir, "lineitem").select(lo.alias("lo"), (lo + F.pow(F.lit(10), F.col("l_linenumber")).cast("long") - F.col("l_quantity").cast("long") % 10 - 1).alias("hi"))
+    s = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("site"), (F.round(F.col("o_totalprice") * 100).cast("long") * 20).alias("at"))
+    width = F.col("hi") - F.col("lo")
+    return S.interval_overlaps(s, "at", w, "lo", "hi").groupBy("site").agg(F.count("lo").alias("n_windows"), F.min(width).alias("narrowest"), F.max(width).alias("widest"))
+
+
 @query(
     """SELECT l_suppkey AS family, sha1(string_agg(CAST(l_orderkey AS VARCHAR), chr(10) ORDER BY CAST(l_orderkey AS VARCHAR))) AS digest FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) GROUP BY 1"""
 )

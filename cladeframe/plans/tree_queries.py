@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladeframe.operators import columns as C
+from cladeframe.operators import forest as W
 from cladeframe.operators import trees as R
 from cladeframe.plans.catalog import query
 from cladeframe.plans.views import ALIGNMENT, TREE, alignment, t, tree
@@ -200,4 +201,20 @@ al AS (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 UN
 def fitch_switches(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
     s = t(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.floor(F.col("s_acctbal") / 3400).cast("string").alias("state"))
-    return R.switches(nodes, R.fitch_levels(nodes, s))
+    return R.switches(nodes, W.parsimony(nodes, s))
+
+
+ASKED = "ask AS (SELECT DISTINCT 's' || a.l_suppkey AS a, 's' || b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_linenumber = 1)"
+
+
+@query(
+    f"""WITH RECURSIVE {TREE}, {ASKED}, k AS (SELECT ask.a, ask.b, max(d.depth) AS depth FROM ask JOIN up x ON ask.a = x.node JOIN up y ON ask.b = y.node AND x.anc = y.anc JOIN depths d ON x.anc = d.node GROUP BY 1, 2)
+SELECT k.a, k.b, x.anc AS lca, CAST(p.depth + q.depth - 2 * k.depth AS BIGINT) AS steps FROM k JOIN up x ON k.a = x.node JOIN depths d ON x.anc = d.node AND d.depth = k.depth JOIN depths p ON k.a = p.node JOIN depths q ON k.b = q.node"""
+)
+def asked_distances(spark, sf_dir):
+    """The shared node and the steps between suppliers that follow each other in an order: of pairs asked for, not of all."""
+    nodes = tree(spark, sf_dir).select(F.lit("t").alias("tree_id"), F.col("node").alias("node_id"), F.col("parent").alias("parent_id"))
+    li = t(spark, sf_dir, "lineitem").where("l_linenumber IN (1, 2)").select("l_orderkey", "l_linenumber", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node"))
+    a, b = (li.where(F.col("l_linenumber") == n).select("l_orderkey", F.col("node").alias(k)) for n, k in ((1, "a"), (2, "b")))
+    asked = a.join(b, "l_orderkey").select(F.lit("t").alias("tree_id"), "a", "b").distinct()
+    return W.lowest_common(W.jump_table(nodes), asked).select("a", "b", "lca", "steps")

@@ -246,10 +246,34 @@ def test_greedy_loci(spark):
 def test_intervals(spark):
     sites = frame(spark, [(170,), (200,), (300,), (500,)], "site int")
     windows = frame(spark, [("A", 165, 202), ("B", 480, 510), ("C", 490, 499)], "w string, lo int, hi int")
-    got = {(r.site, r.w) for r in S.interval_overlaps(sites, "site", windows, "lo", "hi", 16).collect()}
+    got = {(r.site, r.w) for r in S.interval_overlaps(sites, "site", windows, "lo", "hi").collect()}
     assert got == {(170, "A"), (200, "A"), (300, None), (500, "B")}
 
 
+@pytest.mark.parametrize("by", [None, ["contig"]])
+def test_intervals_of_all_widths_against_all_pairs(spark, by):
+    r = random.Random(7)
+    width = lambda: r.choice([0, 1, r.randrange(10), r.randrange(1000), r.randrange(10_000_000)])
+    windows = [(f"w{i}", r.choice("cd"), (lo := r.randrange(-1000, 10_000_000)), lo + width()) for i in range(400)]
+    windows += [("same", "c", 5, 5), ("same", "c", 5, 5), ("none", "c", None, 9), ("back", "d", 9, 3), ("all", "d", -(1 << 40), 1 << 40)]
+    sites = [(r.choice("cd"), r.choice([w[2] or 0, (w[3] or 0) + 1, w[3] or 0, r.randrange(-1000, 10_000_000)])) for w in windows for _ in range(2)] + [("c", None), ("c", 5), ("c", 5)]
+    got = S.interval_overlaps(frame(spark, sites, "contig string, at long"), "at", frame(spark, windows, "w string, contig string, lo long, hi long").drop(*([] if by else ["contig"])), "lo", "hi", by)
+    want = []
+    for c, at in sites:
+        hit = [w for w in windows if at is not None and w[2] is not None and w[2] <= at <= w[3] and (by is None or w[1] == c)]
+        want += [(c, at, w[0], w[2], w[3]) for w in hit] or [(c, at, None, None, None)]
+    assert sorted(map(repr, (tuple(x) for x in got.select("contig", "at", "w", "lo", "hi").collect()))) == sorted(map(repr, want))
+    spread = S.interval_matches(frame(spark, [(1,)], "at long"), "at", frame(spark, windows, "w string, contig string, lo long, hi long"), "lo", "hi")
+    assert spread.count() == sum(1 for w in windows if w[2] is not None and w[2] <= 1 <= w[3])
+
+
+def test_sites_with_their_windows_signals(spark):
+    sites = frame(spark, [(3, "K"), (8, "L"), (3, "M"), (99, "N"), (None, "O")], "site int, aa string")
+    windows = frame(spark, [(1, 5, "q2", "mTP"), (2, 9, "q1", ""), (2, 3, "q2", "SP"), (3, 3, "q1", None), (50, 40, "q9", "SP")], "lo int, hi int, seq string, sig string")
+    got = {r.aa: (r.n_windows, r.window_seqs, r.signals) for r in S.crossed_windows(sites, "site", windows, "lo", "hi", "seq", "sig").collect()}
+    assert got == {"K": (4, "q1,q2", "SP;mTP"), "M": (4, "q1,q2", "SP;mTP"), "L": (1, "q1", ""), "N": (0, "", ""), "O": (0, "", "")}
+
+
 def test_medians_of_groups_of_any_size(spark):
     import random
     import statistics

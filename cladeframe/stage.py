@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -86,9 +86,27 @@ def in_ranges(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
     return staged(ordered, tag)
 
 
+def running_sums(df: DataFrame, keys: list[str], values: dict[str, str], tag: str) -> DataFrame:
+    """df with a column per name in values: the sum of the named column over all rows up to this one in the order of keys, which must tell all rows apart."""
+    fixed = in_ranges(df, keys, tag)
+    sums = fixed.groupBy("_range").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in values.items()])
+    # A row per range.
+    before = sums.selectExpr("_range", *[f"sum(_sum_{n}) OVER (ORDER BY _range) - _sum_{n} AS _before_{n}" for n in values])
+    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    out = fixed.join(F.broadcast(before), "_range").withColumns({n: F.col(f"_before_{n}") + F.sum(v).over(inside) for n, v in values.items()})
+    return out.drop("_range", *[f"_before_{n}" for n in values])
+
+
 def running_sum(df: DataFrame, keys: list[str], value: str, name: str, tag: str) -> DataFrame:
     """df with the sum of value over all rows up to this one in the order of keys, which must tell all rows apart."""
-    fixed = in_ranges(df, keys, tag)
-    before = fixed.groupBy("_range").agg(F.sum(value).alias("_sum")).selectExpr("_range", "sum(_sum) OVER (ORDER BY _range) - _sum AS _before")
+    return running_sums(df, keys, {name: value}, tag)
+
+
+def running_last(df: DataFrame, keys: list[str], value: Column, name: str, tag: str) -> DataFrame:
+    """df with the last value that isn't null among all rows up to this one in the order of keys, which must tell all rows apart."""
+    fixed = in_ranges(df.withColumn("_value", value), keys, tag)
+    lasts = fixed.groupBy("_range").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*keys))).alias("_last"))
+    before = lasts.selectExpr("_range", "last(_last, true) OVER (ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _before")
     inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    return fixed.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.sum(value).over(inside)).drop("_before", "_range")
+    own = F.last("_value", ignorenulls=True).over(inside)
+    return fixed.join(F.broadcast(before), "_range").withColumn(name, F.coalesce(own, F.col("_before"))).drop("_range", "_before", "_value")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import random
-from statistics import median
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.exprs import alignment_digest
+from cladeframe.stage import staged
 
 GAP = "-"
 #: Residues as they are met: cells hold one code point each.
@@ -144,24 +142,36 @@ def without_stops(rows: DataFrame, aligned: str) -> Column:
     return ~F.contains(body, F.lit("*"))
 
 
-def nearest_distance(columns: list[int], core: list[int]) -> float | None:
-    return float(median(min(abs(c - k) for k in core) for c in columns)) if columns and core else None
+#: What the place of diagnostic columns says, and why nothing can be said.
+NEAR, AWAY, INDEPENDENT, UNTESTABLE = "near the core", "away from the core", "independent of the core", "not testable"
 
 
-def core_relationship(sdp: list[int], core: list[int], eligible: list[int], n_null: int = 1000, seed: int = 0, alpha: float = 0.05) -> dict:
-    """Whether diagnostic columns lie nearer to the invariant core than as many columns drawn at random.
+def core_relationships(columns: DataFrame, alignment: str, n_null: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """Whether the diagnostic columns of alignments lie nearer to their invariant core than as many columns drawn at random.
 
-    Works on the column numbers of one alignment, which are few; the draws are those of Python's seeded generator.
+    columns: alignment, col, diagnostic, core, eligible (booleans; null: no). Returns a row per alignment: n_diagnostic, n_core,
+    n_eligible, observed (the median distance to the next core column), null_median, p_near, p_far, verdict. A draw takes
+    the eligible columns whose hash of seed, alignment, draw and column is least, so it is the same wherever it runs, and all
+    draws of all alignments are groups of one plan. An alignment without a diagnostic, a core or enough eligible
+    columns isn't testable. Columns of an alignment lie in one window, as many as the alignment is wide.
     """
-    observed = nearest_distance(sdp, core)
-    if observed is None or len(eligible) < len(sdp):
-        return {"observed": observed, "p_near": None, "p_far": None, "verdict": "not testable"}
-    rng = random.Random(seed)
-    null = [nearest_distance(rng.sample(eligible, len(sdp)), core) for _ in range(n_null)]
-    near = (1 + sum(x <= observed for x in null)) / (1 + n_null)
-    far = (1 + sum(x >= observed for x in null)) / (1 + n_null)
-    verdict = "near the core" if near <= alpha else "away from the core" if far <= alpha else "independent of the core"
-    return {"observed": observed, "p_near": near, "p_far": far, "verdict": verdict}
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    core = F.when(yes("core"), F.col("col"))
+    order = Window.partitionBy(alignment).orderBy("col")
+    before = F.last(core, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(core, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    placed = columns.select(alignment, "col", yes("diagnostic").alias("diagnostic"), yes("core").alias("core"), yes("eligible").alias("eligible"))
+    placed = staged(placed.withColumn("away", F.least(F.col("col") - before, after - F.col("col"))), "core-distances")
+    n = placed.groupBy(alignment).agg(F.count_if("diagnostic").alias("n_diagnostic"), F.count_if("core").alias("n_core"), F.count_if("eligible").alias("n_eligible"), F.median(F.when(F.col("diagnostic"), F.col("away"))).alias("observed"))
+    testable = (F.col("n_diagnostic") > 0) & (F.col("n_core") > 0) & (F.col("n_eligible") >= F.col("n_diagnostic"))
+    pool = placed.where("eligible").join(F.broadcast(n.where(testable)) if n.count() <= 100_000 else n.where(testable), alignment)
+    drawn = pool.select(alignment, "col", "away", "n_diagnostic", "observed", F.explode(F.sequence(F.lit(1), F.lit(n_null))).alias("draw"))
+    lot = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(alignment).cast("string"), F.col("draw").cast("string"), F.col("col").cast("string")).cast("binary"))
+    taken = drawn.withColumn("_lot", lot).withColumn("_rank", F.row_number().over(Window.partitionBy(alignment, "draw").orderBy("_lot", "col"))).where("_rank <= n_diagnostic")
+    null = taken.groupBy(alignment, "draw").agg(F.median("away").alias("m"), F.first("observed").alias("o"))
+    tested = null.groupBy(alignment).agg(F.median("m").alias("null_median"), ((1 + F.count_if(F.col("m") <= F.col("o"))) / F.lit(1.0 + n_null)).alias("p_near"), ((1 + F.count_if(F.col("m") >= F.col("o"))) / F.lit(1.0 + n_null)).alias("p_far"))
+    verdict = F.when(F.col("p_near").isNull(), UNTESTABLE).when(F.col("p_near") <= alpha, NEAR).when(F.col("p_far") <= alpha, AWAY).otherwise(INDEPENDENT)
+    return n.join(tested, alignment, "left").withColumn("verdict", verdict)
 
 
 def region_contrast(values: DataFrame, member: str, residue: str, value: str, in_region: Column, focal: Column, min_residues: int = 5) -> DataFrame:

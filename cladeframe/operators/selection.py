@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.stage import in_ranges, running_sum, staged
+
 
 def selection_verdict(evidence: DataFrame, alpha: float = 0.05, dominance: float = 0.5) -> DataFrame:
     """evidence with verdict, evidence_for and evidence_against; null evidence abstains.
@@ -60,30 +64,55 @@ def acceptance(identity: Column, protein: Column, min_identity: float = 0.95, mi
     return F.when(identity < min_identity, "identity").when(F.contains(body, F.lit("*")), "internal stop").when(F.length(body) < min_length, "length").otherwise("ok")
 
 
-def best_per_locus(models: DataFrame, contig: str, start: str, end: str, score: str, gap: int = 0) -> DataFrame:
-    """Greedy choice along each contig: by falling score (ties by start, end), a model stays unless it overlaps a kept one.
+def loci(models: DataFrame, contig: str, start: str, end: str, gap: int = 0) -> DataFrame:
+    """models with locus: the start of their island. A model more than gap after the end of all before it on its contig begins one.
 
-    Overlapping models form islands (a running maximum of ends over the order of starts); the choice within an island
-    doesn't depend on others, so an island is a task's unit and not a whole contig.
+    Models without a contig, start or end have no place and are left out.
+    Contigs of any size: models lie in ranges over all contigs; what a range needs of those before it is a contig's largest end and
+    last island, a row per contig and range.
     """
-    from pyspark.sql import Window
+    keys = [contig, start, end]
+    known = models.where(F.col(contig).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
+    fixed = in_ranges(known, keys, "loci")
+    inside = Window.partitionBy("_range", contig).orderBy(start, end)
+    earlier = Window.partitionBy(contig).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = fixed.groupBy(contig, "_range").agg(F.max(end).alias("_most")).withColumn("_reach", F.max("_most").over(earlier)).drop("_most")
+    before = F.greatest("_reach", F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    new = before.isNull() | (F.col(start) > before + gap)
+    flagged = staged(fixed.join(ends, [contig, "_range"]).withColumn("_new", F.when(new, F.col(start))).drop("_reach"), "loci-starts")
+    # Starts rise, so the last island is the one with the largest start.
+    lasts = flagged.groupBy(contig, "_range").agg(F.max("_new").alias("_last")).withColumn("_open", F.max("_last").over(earlier)).drop("_last")
+    own = F.max("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return flagged.join(lasts, [contig, "_range"]).withColumn("locus", F.coalesce(own, F.col("_open"))).select(*models.columns, "locus")
 
-    w = Window.partitionBy(contig).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = models.withColumn("_new", (F.col(start) > F.coalesce(before, F.lit(-1)) + gap).cast("long")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values([score, start, end], ascending=[False, True, True], kind="stable")
-        kept: list[tuple[int, int]] = []
-        keep = []
-        for a, b in zip(rows[start], rows[end], strict=True):
-            ok = all(b < s or a > e for s, e in kept)
-            keep.append(ok)
-            if ok:
-                kept.append((a, b))
-        return rows[keep].drop(columns=["_island"])
+def best_per_locus(models: DataFrame, contig: str, start: str, end: str, score: str, gap: int = 0) -> DataFrame:
+    """Greedy choice along each contig: by falling score (ties by start, end), a model stays unless it overlaps a kept one.
 
-    return islands.groupBy(contig, "_island").applyInPandas(run, models.schema)
+    The choice in an island of overlapping models doesn't depend on others, so an island is a task's unit and a contig is not. Spark
+    sorts the models into the order of choice; a task then passes over its islands one model after another and
+    holds the kept ones of one island, which don't overlap: a model need only be compared with its two neighbours among them.
+    """
+    columns = models.columns
+    ordered = loci(models, contig, start, end, gap).repartition(contig, "locus").sortWithinPartitions(contig, "locus", F.col(score).desc(), start, end)
+    passed = ordered.select(*columns, F.struct(F.col(contig).cast("string"), F.col("locus").cast("long")).alias("_at"), F.col(start).cast("long").alias("_a"), F.col(end).cast("long").alias("_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        island, starts, ends = None, [], []
+        for batch in batches:
+            keep = []
+            for at, a, b in zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), batch.column(len(columns) + 2).to_pylist(), strict=True):
+                if at != island:
+                    island, starts, ends = at, [], []
+                i = bisect_right(starts, b)  # kept models from i on start behind this one
+                ok = i == 0 or ends[i - 1] < a
+                if ok:
+                    starts.insert(i, a)
+                    ends.insert(i, b)
+                keep.append(ok)
+            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
+
+    return passed.mapInArrow(run, models.schema)
 
 
 def back_translate(aligned: Column, cds: Column) -> Column:
@@ -123,16 +152,19 @@ def stale_profiles(members: DataFrame, built: DataFrame, family: str, gene: str)
     return now.join(built.where("size > 0").select(family, "digest"), [family, "digest"], "left_anti")
 
 
-def cost_batches(items: DataFrame, length: str, n: int) -> DataFrame:
-    """items with batch 0..n-1 of near equal expected cost: ranked by falling cost within a hash bucket and dealt in turn."""
-    from pyspark.sql import Window
+def cost_batches(items: DataFrame, length: str, n: int, keys: list[str]) -> DataFrame:
+    """items with cost (expected milliseconds) and batch 0..n-1: cuts of near equal cost through the order of keys, which tell items apart.
 
+    A running sum over ranges places the middle of each item; no batch exceeds the mean cost by more than the dearest item.
+    """
     from cladeframe.functions.exprs import fold_seconds
 
-    bucket = F.pmod(F.hash(*items.columns), F.lit(64))
-    w = Window.partitionBy("_b").orderBy(F.col("cost").desc(), *items.columns)
-    ranked = items.withColumn("cost", fold_seconds(F.col(length))).withColumn("_b", bucket).withColumn("_r", F.row_number().over(w))
-    return ranked.withColumn("batch", F.pmod(F.col("_r") + F.col("_b"), F.lit(n))).drop("_b", "_r")
+    priced = items.withColumn("cost", F.greatest(F.lit(1), F.round(fold_seconds(F.col(length)) * 1000)).cast("long"))
+    summed = running_sum(priced, keys, "cost", "_upto", "batches")
+    total = priced.agg(F.sum("cost").alias("_total"))  # one row
+    middle = 2 * F.col("_upto") - F.col("cost")
+    batch = F.least(F.floor(middle / (2 * F.col("_total")) * n), F.lit(n - 1)).cast("int")
+    return summed.crossJoin(F.broadcast(total)).withColumn("batch", batch).drop("_upto", "_total")
 
 
 def batches_of(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:

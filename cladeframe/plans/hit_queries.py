@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cladeframe.functions import exprs as X
 from cladeframe.functions import ids as I
 from cladeframe.operators import rounds as R
+from cladeframe.operators import selection as L
 from cladeframe.operators import sets as S
 from cladeframe.operators import topk as K
 from cladeframe.operators import votes as V
 from cladeframe.plans.catalog import query
 from cladeframe.plans.views import HITS, hits, t
+from cladeframe.sources import chunks as K2
+from cladeframe.stage import shared_dir
 
 MARGIN = "greatest(CAST(10 AS DOUBLE), CAST(0.05 AS DOUBLE) * bits)"
 DECIDED = f"""{HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY bits DESC, family) AS rn, lead(bits) OVER (PARTITION BY gene ORDER BY bits DESC, family) AS second FROM h),
@@ -276,3 +281,51 @@ def cross_species_semi(spark, sf_dir):
     h = hits(spark, sf_dir).join(s, "family").select(F.concat(F.lit("3_"), F.col("gene").cast("string")).alias("q"), "subject", "gate")
     wanted = h.select("q").distinct()
     return S.cross_species_hits(h, "q", "subject", "gate", wanted, 0.02).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH m AS (SELECT l_returnflag AS contig, CAST(round(l_extendedprice * 100) AS BIGINT) AS s, CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(l_quantity AS BIGINT) * 20 AS e FROM lineitem),
+b AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM m),
+i AS (SELECT *, max(CASE WHEN prev IS NULL OR s > prev THEN s END) OVER (PARTITION BY contig ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS locus FROM b)
+SELECT contig, locus, max(e) AS locus_end, count(*) AS n_models FROM i GROUP BY 1, 2"""
+)
+def locus_islands(spark, sf_dir):
+    """Line items as gene models on three contigs: the islands that overlapping ones form."""
+    start = F.round(F.col("l_extendedprice") * 100).cast("long")
+    m = t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("contig"), start.alias("start"), (start + F.col("l_quantity").cast("long") * 20).alias("end"))
+    return L.loci(m, "contig", "start", "end").groupBy("contig", "locus").agg(F.max("end").alias("locus_end"), F.count("*").alias("n_models"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, CAST(greatest(CAST(1 AS DOUBLE), round(1.68 * pow(n_chars / CAST(210 AS DOUBLE), CAST(2.55 AS DOUBLE)) * 1000)) AS BIGINT) AS cost FROM documents),
+c AS (SELECT *, sum(cost) OVER (ORDER BY doc_id) AS upto, sum(cost) OVER () AS total FROM p),
+b AS (SELECT cost, least(floor(CAST(2 * upto - cost AS DOUBLE) / CAST(2 * total AS DOUBLE) * 64), 63) AS batch FROM c)
+SELECT CAST(batch AS INTEGER) AS batch, count(*) AS n_items, CAST(sum(cost) AS BIGINT) AS cost FROM b GROUP BY 1"""
+)
+def equal_cost_batches(spark, sf_dir):
+    """Documents as sequences to fold, in 64 batches of near equal expected time."""
+    items = t(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return L.cost_batches(items, "n_chars", 64, ["doc_id"]).groupBy("batch").agg(F.count("*").alias("n_items"), F.sum("cost").alias("cost"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, CAST(doc_id % 6 AS INTEGER) AS chunk FROM documents)
+SELECT chunk, 'missing' AS problem, CAST(1 AS BIGINT) AS n FROM d WHERE chunk = 1 GROUP BY 1
+UNION ALL SELECT chunk, 'lost', count(*) FROM d WHERE chunk = 2 AND doc_id % 7 = 0 GROUP BY 1 HAVING count(*) > 0
+UNION ALL SELECT chunk, 'repeated', count(*) FROM d WHERE chunk = 3 AND doc_id % 5 = 0 GROUP BY 1 HAVING count(*) > 0
+UNION ALL SELECT chunk, 'changed', count(*) FROM d WHERE chunk = 4 AND doc_id % 8 = 0 GROUP BY 1 HAVING count(*) > 0
+UNION ALL SELECT chunk, 'lost', count(*) FROM d WHERE chunk = 4 AND doc_id % 8 = 0 GROUP BY 1 HAVING count(*) > 0
+UNION ALL SELECT CAST(5 AS INTEGER), 'foreign', count(*) FROM d WHERE chunk = 0 AND doc_id % 9 = 0 HAVING count(*) > 0"""
+)
+def chunk_completeness(spark, sf_dir):
+    """Documents' lengths as results of six chunks of a tool, of which five have something wrong; each chunk is written with its manifest."""
+    folder = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    d = t(spark, sf_dir, "documents").select("doc_id", "n_chars", F.pmod("doc_id", F.lit(6)).cast("int").alias("chunk"))
+    one = lambda n: d.where(F.col("chunk") == n).drop("chunk")
+    K2.write_chunk(one(0), folder, 0, "doc_id")
+    K2.write_chunk(one(2).where("doc_id % 7 <> 0"), folder, 2, "doc_id")
+    K2.write_chunk(one(3).unionByName(one(3).where("doc_id % 5 = 0")), folder, 3, "doc_id")
+    K2.write_chunk(one(4), folder, 4, "doc_id")
+    one(4).where("doc_id % 8 <> 0").write.mode("overwrite").parquet(f"{folder}/data/chunk=4")
+    K2.write_chunk(one(5).unionByName(one(0).where("doc_id % 9 = 0")), folder, 5, "doc_id")
+    return K2.problems(spark, folder, d.select("chunk", "doc_id"), "doc_id")

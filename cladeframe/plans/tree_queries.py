@@ -136,6 +136,24 @@ def region_contrast(spark, sf_dir):
     return C.region_contrast(li, "member", "residue", "value", F.col("residue").between(3, 5), F.col("focal"), 250).withColumn("delta", F.round("delta", 6))
 
 
+@query(
+    f"""WITH {ALIGNMENT}, o AS (SELECT clan, col, avg(CASE WHEN residue <> '-' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS occ FROM cells GROUP BY 1, 2), c AS (SELECT clan, col, occ > 0.3 AND occ < 0.8 AS dia, occ = 1 AS core, occ > 0 AS eli FROM o),
+k AS (SELECT x.clan, x.col, min(abs(x.col - y.col)) AS away FROM c x JOIN c y ON x.clan = y.clan AND y.core GROUP BY 1, 2), n AS (SELECT c.clan, count(*) FILTER (dia) AS n_diagnostic, count(*) FILTER (core) AS n_core, count(*) FILTER (eli) AS n_eligible, median(away) FILTER (dia) AS observed FROM c LEFT JOIN k ON c.clan = k.clan AND c.col = k.col GROUP BY 1),
+d AS (SELECT c.clan, c.col, k.away, n_diagnostic, observed, i AS draw, row_number() OVER (PARTITION BY c.clan, i ORDER BY md5(concat_ws('|', '0', CAST(c.clan AS VARCHAR), CAST(i AS VARCHAR), CAST(c.col AS VARCHAR))), c.col) AS r FROM c JOIN k ON c.clan = k.clan AND c.col = k.col JOIN n ON c.clan = n.clan, range(1, 101) t(i) WHERE eli AND n_diagnostic > 0 AND n_core > 0 AND n_eligible >= n_diagnostic),
+u AS (SELECT clan, draw, median(away) AS m, min(observed) AS o FROM d WHERE r <= n_diagnostic GROUP BY 1, 2), p AS (SELECT clan, median(m) AS null_median, (1 + count(*) FILTER (m <= o)) / CAST(101 AS DOUBLE) AS p_near, (1 + count(*) FILTER (m >= o)) / CAST(101 AS DOUBLE) AS p_far FROM u GROUP BY 1)
+SELECT n.clan, n_diagnostic, n_core, n_eligible, observed, null_median, round(p_near, 6) AS p_near, round(p_far, 6) AS p_far,
+  CASE WHEN p_near IS NULL THEN 'not testable' WHEN p_near <= CAST(0.05 AS DOUBLE) THEN 'near the core' WHEN p_far <= CAST(0.05 AS DOUBLE) THEN 'away from the core' ELSE 'independent of the core' END AS verdict FROM n LEFT JOIN p ON n.clan = p.clan"""
+)
+def diagnostic_core_distance(spark, sf_dir):
+    """Half-filled columns of each clan's alignment against its full ones, and against 100 draws of its columns."""
+    filled = F.when(F.col("residue") != "-", 1.0).otherwise(0.0)
+    occ = _cells(spark, sf_dir).groupBy("clan", "col").agg(F.avg(filled).alias("occ"))
+    o = F.col("occ")
+    roles = occ.select("clan", "col", ((o > 0.3) & (o < 0.8)).alias("diagnostic"), (o == 1).alias("core"), (o > 0).alias("eligible"))
+    out = C.core_relationships(roles, "clan", n_null=100)
+    return out.withColumns({c: F.round(c, 6) for c in ("p_near", "p_far")})
+
+
 def _nodes(spark, sf_dir):
     return R.from_parents(tree(spark, sf_dir), "node", "parent", "name").withColumn("tree_id", F.lit("t"))
 

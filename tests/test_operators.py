@@ -207,11 +207,19 @@ def test_codons_and_concatenation(spark):
     assert bt == "ATG---AAA"
 
 
-def test_core_relationship_is_seeded():
-    got = C.core_relationship([10, 12], [11, 13], list(range(1, 200)), n_null=200)
-    assert got == C.core_relationship([10, 12], [11, 13], list(range(1, 200)), n_null=200)
-    assert got["observed"] == 1.0 and got["verdict"] == "near the core"
-    assert C.core_relationship([1], [], [1, 2])["verdict"] == "not testable"
+def test_diagnostic_columns_and_the_core(spark):
+    roles = [("near", c, c in (10, 12), c in (11, 13), True) for c in range(1, 200)]
+    roles += [("far", c, c in (150, 151, 152), c <= 20, c > 20) for c in range(1, 160)]
+    roles += [("any", c, c % 9 == 0, c % 10 == 0, True) for c in range(1, 100)]
+    roles += [("bare", 1, True, None, True), ("none", 1, None, True, True), ("few", 1, True, True, None)]
+    df = frame(spark, roles, "aln string, col int, diagnostic boolean, core boolean, eligible boolean")
+    got = {r.aln: r for r in C.core_relationships(df, "aln", n_null=200).collect()}
+    assert {k: r.verdict for k, r in got.items()} == {"near": C.NEAR, "far": C.AWAY, "any": C.INDEPENDENT, "bare": C.UNTESTABLE, "none": C.UNTESTABLE, "few": C.UNTESTABLE}
+    assert got["near"].observed == 1.0 and got["far"].observed == 131.0 and got["near"].p_near == pytest.approx(1 / 201, abs=0.02)
+    again = C.core_relationships(df.repartition(3), "aln", n_null=200)
+    assert sorted(again.collect(), key=repr) == sorted(got.values(), key=repr)
+    other = {r.aln: r.null_median for r in C.core_relationships(df, "aln", n_null=20, seed=5).collect()}
+    assert other["near"] is not None and other["bare"] is None
 
 
 def test_audits_and_merges(spark):
@@ -243,6 +251,51 @@ def test_greedy_loci(spark):
     assert [r.x for r in reasons.collect()] == ["identity", "internal stop", "length", "ok"]
 
 
+def greedy(rows):
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        if all(r[0] != k[0] or r[2] < k[1] or r[1] > k[2] for k in kept):
+            kept.append(r)
+    return kept
+
+
+@pytest.mark.parametrize("gap", [0, 25])
+def test_loci_of_crowded_contigs(spark, gap):
+    r = random.Random(11 + gap)
+    rows = [(r.choice("aaab"), (lo := r.randrange(40000)), lo + r.choice([0, 5, 30, 200]), r.randrange(10**9) / 10**9, f"m{i}") for i in range(1500)]
+    rows += [("long", 10 * i, 10 * i + 12, float(i % 7), f"l{i}") for i in range(400)] + [("long", 0, 9000, 0.5, "all"), ("e", 5, 5, 1.0, "p"), ("e", 5, 5, 1.0, "p")]
+    models = frame(spark, [*rows, (None, 1, 2, 1.0, "x"), ("e", None, 2, 1.0, "y")], "contig string, start int, end int, identity double, name string").repartition(5)
+    want = {}
+    for contig in {x[0] for x in rows}:
+        reach = locus = None
+        for x in sorted((x for x in rows if x[0] == contig), key=lambda x: (x[1], x[2])):
+            if reach is None or x[1] > reach + gap:
+                locus = x[1]
+            reach = max(x[2], x[2] if reach is None else reach)
+            want.setdefault((contig, locus), []).append(x[4])
+    got = {}
+    for x in L.loci(models, "contig", "start", "end", gap).collect():
+        got.setdefault((x.contig, x.locus), []).append(x.name)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    if gap == 0:
+        kept = L.best_per_locus(models, "contig", "start", "end", "identity").collect()
+        assert sorted(tuple(x) for x in kept) == sorted(greedy(rows))
+
+
+def test_batches_of_equal_cost(spark):
+    r = random.Random(4)
+    items = frame(spark, [(i, r.choice([30, 200, 210, 900, 2500])) for i in range(900)], "id int, length int").repartition(6)
+    got = L.cost_batches(items, "length", 12, ["id"]).collect()
+    cost = [0] * 12
+    for x in got:
+        cost[x.batch] += x.cost
+    assert len(got) == 900 and max(cost) <= sum(cost) / 12 + max(x.cost for x in got)
+    assert [x.batch for x in sorted(got)] == sorted(x.batch for x in got)
+    one = L.cost_batches(items.limit(1), "length", 5, ["id"]).collect()
+    assert len(one) == 1 and 0 <= one[0].batch < 5
+    assert L.cost_batches(items.limit(0), "length", 5, ["id"]).count() == 0
+
+
 def test_intervals(spark):
     sites = frame(spark, [(170,), (200,), (300,), (500,)], "site int")
     windows = frame(spark, [("A", 165, 202), ("B", 480, 510), ("C", 490, 499)], "w string, lo int, hi int")

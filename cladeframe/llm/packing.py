@@ -33,6 +33,8 @@ GENERATIONS = 6
 POPULATION = 5
 #: Bins filled below this share are opened again at the next level.
 LOOSE = 0.98
+#: A level that saves no more than this share of the bins it opened is the last.
+LEAST_SAVED = 0.001
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -257,23 +259,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, island
     """Give each piece (doc_id, piece, start, length, ids_crc32) a sequence_id and an offset there.
 
     No sequence holds more than capacity tokens; offsets are gapless from 0. Pieces of the same length,
-    repeated rows among them, are packed like any others. An empty table gives an empty result.
+    repeated rows among them, are packed like any others. An empty table gives an empty result. A level that saves no more than
+    LEAST_SAVED of the bins opened for it is the last, so lengths that fill no bin take two levels.
     """
     left = staged(pieces.withColumn("mid", F.monotonically_increasing_id()), "pack-pieces")
-    done = None
-    level = 0
+    done, before, given, level = None, None, None, 0
     while True:
         groups = max(1, -(-left.count() // group))
         packed = staged(_pack_level(left, groups, level, capacity, islands, rounds, generations, population), f"pack-level-{level}")
-        last = groups == 1 or level == 60
-        kept = packed if last else packed.where(~F.col("opened"))
+        bins, open_bins = packed.agg(F.countDistinct("sequence_id"), F.countDistinct(F.when(F.col("opened"), F.col("sequence_id")))).first()
+        # Loose bins are opened for another mixture of groups as long as that saves some.
+        last = groups == 1 or open_bins == 0 or (given is not None and given - bins <= LEAST_SAVED * given)
+        # A last level that took more bins than it was given counts for nothing.
+        kept = before if last and given is not None and bins > given else packed if last else packed.where(~F.col("opened"))
         kept = kept.drop("opened", "mid")
         done = kept if done is None else done.unionByName(kept)
         if last:
             return done
-        left = packed.where("opened").drop("opened", "sequence_id", "offset")
+        before, given = packed.where("opened"), open_bins
+        left = before.drop("opened", "sequence_id", "offset")
         level += 1
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequence and place; null texts are an end token, repeated rows are packed each, an empty table gives no row."""
     return pack(token_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -91,3 +91,21 @@ def test_every_group_crosses_over(monkeypatch):
 
 def test_no_documents(no_docs):
     assert P.pack(P.token_pieces(no_docs)).count() == 0
+
+
+@pytest.mark.parametrize("lengths", [[2100] * 300, [3000] * 150 + [2100] * 150, [2100, 1990] * 200])
+def test_lengths_that_fill_no_bin_take_few_levels(spark, monkeypatch, lengths):
+    levels = []
+    kept = P._pack_level
+    monkeypatch.setattr(P, "_pack_level", lambda *a: (levels.append(a[2]), kept(*a))[1])
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], P.PIECE_SCHEMA)
+    got = P.pack(pieces, group=64, rounds=1, generations=1).collect()
+    assert len(got) == len(lengths) and len(levels) <= 4
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append(r)
+    for rows in bins.values():
+        rows.sort(key=lambda r: r.offset)
+        assert [r.offset for r in rows] == [sum(x.length for x in rows[:k]) for k in range(len(rows))] and sum(r.length for r in rows) <= P.CAPACITY
+    most = len(lengths) if min(lengths) > P.CAPACITY // 2 else len(lengths) // 2 + len(lengths) // 50
+    assert len(bins) <= most

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: The suffixes that a locus and its isoforms differ by, in the order they are tried.
 ISOFORM_SUFFIXES = (".t1", ".1", ".t2", ".2")
+#: Formats of names that files and databases give, which results must agree on.
+ISOFORM = r"(?:[._]t\d+|\.\d+)$"
+DATABASE_MODEL = r"AF-([A-Z0-9]+)(?:-\d+)?-F1"
 FILE_SUFFIX = r"\.(pdb|fasta|fa|afa|aln)$"
 STRUCTURE_SUFFIX = r"\.(pdb|cif)(\.gz)?$"
 
@@ -26,7 +29,7 @@ def canonical(gene: Column) -> Column:
 
 
 def without_isoform(gene: Column) -> Column:
-    return F.regexp_replace(gene, r"(?:[._]t\d+|\.\d+)$", "")
+    return F.regexp_replace(gene, ISOFORM, "")
 
 
 def without_transcript(gene: Column) -> Column:
@@ -39,7 +42,7 @@ def target_family(target: Column) -> Column:
 
 def accession(target: Column) -> Column:
     """The accession within a structure database's name; an error where there is none."""
-    found = F.regexp_extract(target, r"AF-([A-Z0-9]+)(?:-\d+)?-F1", 1)
+    found = F.regexp_extract(target, DATABASE_MODEL, 1)
     return F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit("no accession in "), target)))
 
 

@@ -9,38 +9,38 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("given, want", [("Mcry_g1", "Mcry"), ("a_b_c", "a"), ("plain", "plain")])
+@pytest.mark.parametrize("given, want", [("Zmon_g1", "Zmon"), ("a_b_c", "a"), ("plain", "plain")])
 def test_species(spark, given, want):
     assert one(spark, I.species_of(F.lit(given))) == want
 
 
 def test_canonical_is_idempotent(spark):
-    for given, want in ((" Mcry_g1.t1.pdb ", "Mcry_g1_t1"), ("x.fa", "x"), ("x.fa.pdb", "x_fa"), ("a.b.c", "a_b_c")):
+    for given, want in ((" Zmon_g1.t1.pdb ", "Zmon_g1_t1"), ("x.fa", "x"), ("x.fa.pdb", "x_fa"), ("a.b.c", "a_b_c")):
         got = one(spark, I.canonical(F.lit(given)))
         assert got == want and one(spark, I.canonical(F.lit(got))) == got
 
 
 def test_suffixes(spark):
     assert [one(spark, I.without_isoform(F.lit(x))) for x in ("g1.t2", "g1_t2", "g1.3", "g_3", "g.t1.t2")] == ["g1", "g1", "g1", "g_3", "g.t1"]
-    assert one(spark, I.without_transcript(F.lit("AT1G53310.2"))) == "AT1G53310"
+    assert one(spark, I.without_transcript(F.lit("AT4G77001.6"))) == "AT4G77001"
     assert one(spark, I.target_family(F.lit("R1_OG1.pdb.gz"))) == "R1_OG1"
-    assert one(spark, I.accession(F.lit("AF-A0PJE2-2-F1-model_v4"))) == "A0PJE2" and one(spark, I.accession(F.lit("AF-P10490-F1-model_v6"))) == "P10490"
+    assert one(spark, I.accession(F.lit("AF-Q8ZZK4-3-F1-model_v2"))) == "Q8ZZK4" and one(spark, I.accession(F.lit("AF-B2WQX7-F1-model_v3"))) == "B2WQX7"
     with pytest.raises(Exception, match="no accession"):
         one(spark, I.accession(F.lit("nothing")))
 
 
 def test_paths_and_regions(spark):
-    assert one(spark, I.orthogroup_path("run", F.lit("R2_OG0000001"))) == "run/round_02/orthogroups/OG0000001"
+    assert one(spark, I.orthogroup_path("run", F.lit("R7_OG0000318"))) == "run/round_07/orthogroups/OG0000318"
     with pytest.raises(Exception, match="no round"):
         one(spark, I.orthogroup_path("run", F.lit("OG1")))
     assert tuple(one(spark, I.region_bounds(F.lit("3-17")))) == (3, 17)
 
 
 def test_first_spelling_that_matches(spark):
-    index = spark.createDataFrame([("Mcry_g1", "F1"), ("Mcry_g3.t1", "F2")], "id string, family string")
-    asked = spark.createDataFrame([("g1", "Mcry"), ("g3", "Mcry"), ("Mcry_g1.1", "Mcry"), ("zzz", "Mcry")], "gene string, sp string")
+    index = spark.createDataFrame([("Zmon_g1", "F1"), ("Zmon_g3.t1", "F2")], "id string, family string")
+    asked = spark.createDataFrame([("g1", "Zmon"), ("g3", "Zmon"), ("Zmon_g1.1", "Zmon"), ("zzz", "Zmon")], "gene string, sp string")
     got = {r.gene: (r.matched, r.family) for r in I.first_match(asked, "gene", index, "id", "sp").collect()}
-    assert got == {"g1": ("Mcry_g1", "F1"), "g3": ("Mcry_g3.t1", "F2"), "Mcry_g1.1": ("Mcry_g1", "F1"), "zzz": (None, None)}
+    assert got == {"g1": ("Zmon_g1", "F1"), "g3": ("Zmon_g3.t1", "F2"), "Zmon_g1.1": ("Zmon_g1", "F1"), "zzz": (None, None)}
 
 
 def test_levels_of_matching(spark):

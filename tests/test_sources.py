@@ -35,9 +35,9 @@ def test_fasta(spark, put, tmp_path):
 
 
 def test_group_tables(spark, put):
-    path = put("Orthogroups.tsv", "Orthogroup\tCgig\tMcry\nOG1\tCgig_a, Cgig_b\tMcry_x\nOG2\t\tMcry_y, Mcry_x\nOG3\t\t\n")
-    assert sorted((r.og, r.species, r.gene) for r in T.orthogroups(spark, path).collect()) == [("OG1", "Cgig", "Cgig_a"), ("OG1", "Cgig", "Cgig_b"), ("OG1", "Mcry", "Mcry_x"), ("OG2", "Mcry", "Mcry_y")]
-    assert T.orthogroups(spark, path, dedupe=False).where("gene = 'Mcry_x'").count() == 2
+    path = put("Orthogroups.tsv", "Orthogroup\tQalb\tZmon\nOG1\tQalb_a, Qalb_b\tZmon_x\nOG2\t\tZmon_y, Zmon_x\nOG3\t\t\n")
+    assert sorted((r.og, r.species, r.gene) for r in T.orthogroups(spark, path).collect()) == [("OG1", "Qalb", "Qalb_a"), ("OG1", "Qalb", "Qalb_b"), ("OG1", "Zmon", "Zmon_x"), ("OG2", "Zmon", "Zmon_y")]
+    assert T.orthogroups(spark, path, dedupe=False).where("gene = 'Zmon_x'").count() == 2
     path = put("groups.tsv", "group_id\tgroup_size\tSp1.faa\tSp2.faa\n1\t2\ta,b\t*\n2\t0\t*\t*\n")
     assert sorted((r.group_id, r.species, r.gene) for r in T.ortholog_groups(spark, path).collect()) == [("1", "Sp1", "a"), ("1", "Sp1", "b")]
 
@@ -58,11 +58,11 @@ def test_hits(spark, put):
     path = put("fs.tsv", "g1\tR1_OG1.pdb\t1e-9\t100\t0.8\ng1\tR1_OG1.cif.gz\t1e-9\t90\t0.82\ng1\tR1_OG2\t1e-9\t50\t0.7\nbad\trow\n")
     assert sorted((r.family, r.tm) for r in T.foldseek(spark, path).collect()) == [("R1_OG1", 0.82), ("R1_OG2", 0.7)]
     line = lambda q, s, b: "\t".join([q, s, "90", "100", "0", "0", "1", "10", "1", "10", "1e-9", str(b)])
-    path = put("b6.tsv", "\n".join([line("A", "Mcry_1", 10), line("A", "Mcry_2", 10), line("A", "Ococ_1", 15), "short\trow"]) + "\n")
-    assert [r.sseqid for r in T.blast_best(spark, path).collect()] == ["Ococ_1"]
+    path = put("b6.tsv", "\n".join([line("A", "Zmon_1", 10), line("A", "Zmon_2", 10), line("A", "Vden_1", 15), "short\trow"]) + "\n")
+    assert [r.sseqid for r in T.blast_best(spark, path).collect()] == ["Vden_1"]
     per = T.blast_best(spark, path, F.split_part("sseqid", F.lit("_"), F.lit(1)).alias("species"))
-    assert sorted((r.species, r.sseqid) for r in per.collect()) == [("Mcry", "Mcry_1"), ("Ococ", "Ococ_1")]
-    line = lambda q, b: "\t".join([q, "AF-P10490-F1-model_v6", "0.9", "10", "1e-9", str(b), "1", "2", "1", "2", "0.9", "x"])
+    assert sorted((r.species, r.sseqid) for r in per.collect()) == [("Vden", "Vden_1"), ("Zmon", "Zmon_1")]
+    line = lambda q, b: "\t".join([q, "AF-B2WQX7-F1-model_v3", "0.9", "10", "1e-9", str(b), "1", "2", "1", "2", "0.9", "x"])
     assert [(r["query"], r.bits) for r in T.structure_best(spark, put("s.tsv", line("G.pdb", 5) + "\n" + line("G.pdb", 9) + "\n")).collect()] == [("G", 9.0)]
 
 
@@ -71,8 +71,8 @@ def test_annotations(spark, put):
     assert sorted((r.gene, r.ec, r.is_enzyme) for r in T.emapper(spark, path).collect()) == [("g1", "1.1.1.1", True), ("g2", "", False)]
     with pytest.raises(ValueError, match="header"):
         T.emapper(spark, put("bad.tsv", "g1\tx\n"))
-    got = {r.gene: (r.ec, r.confidence) for r in T.clean(spark, put("c.csv", "Mcry_MULTI,EC:1.1.1.1/0.3;EC:2.2.2.2/0.9\ng2,EC:3.3.3.3/0.5,EC:4.4.4.4/0.5\n")).collect()}
-    assert got == {"Mcry_MULTI": ("2.2.2.2", 0.9), "g2": ("3.3.3.3", 0.5)}
+    got = {r.gene: (r.ec, r.confidence) for r in T.clean(spark, put("c.csv", "Zmon_many,EC:1.1.1.1/0.3;EC:2.2.2.2/0.9\ng2,EC:3.3.3.3/0.5,EC:4.4.4.4/0.5\n")).collect()}
+    assert got == {"Zmon_many": ("2.2.2.2", 0.9), "g2": ("3.3.3.3", 0.5)}
     got = {r.gene: (r.is_enzyme, r.ec, r.confidence) for r in T.enzymes(spark, put("z.csv", "Protein_ID,EC_number,Score\na,1.1.1.1,0.7\nb,,x\n")).collect()}
     assert got == {"a": (True, "1.1.1.1", 0.7), "b": (False, "", 0.0)}
     (r,) = T.localization(spark, put("d.csv", "Protein_ID,Localizations,Signals,Cytoplasm,Plastid,Note\ng1,Plastid,s,0.1,0.9,text\n")).collect()
@@ -84,17 +84,17 @@ def test_annotations(spark, put):
 
 
 def test_selection_results(spark, put):
-    doc = {"test results": {"relaxation or intensification parameter": 0.6362, "p-value": 0.01, "LRT": 6.6}}
+    doc = {"test results": {"relaxation or intensification parameter": 0.4175, "p-value": 0.01, "LRT": 9.3}}
     (r,) = T.relax(spark, put("r.json", json.dumps(doc))).collect()
-    assert (r.k, r.p, r.direction) == (0.6362, 0.01, "relaxed")
+    assert (r.k, r.p, r.direction) == (0.4175, 0.01, "relaxed")
     doc = {"MLE": {"headers": [["alpha", "x"], ["p-value", "y"]], "content": {"0": [[1.0, 0.5], [2.0, 0.03]]}}}
     assert [(r.site, r.p) for r in T.meme_sites(spark, put("m.json", json.dumps(doc))).collect()] == [(2, 0.03)]
-    doc = {"branch attributes": {"0": {"Tfru_tip": {"Corrected P-value": 0.01}, "Node1": {"Corrected P-value": 0.5}}}}
-    assert [r.branch for r in T.absrel_branches(spark, put("a.json", json.dumps(doc))).collect()] == ["Tfru_tip"]
-    beb = "Naive\n   9 A 0.99\n\nBayes Empirical Bayes (BEB) analysis\nPositive sites for foreground lineages Prob(w>1):\n   170 K 0.712\n   200 R 0.981*\n   500 E 0.994**\n\nThe grid\n 1 K 0.5\nlnL(ntime: 5 np: 9):  -1234.5  +0.0\n"
+    doc = {"branch attributes": {"0": {"Hpet_leaf": {"Corrected P-value": 0.01}, "Node1": {"Corrected P-value": 0.5}}}}
+    assert [r.branch for r in T.absrel_branches(spark, put("a.json", json.dumps(doc))).collect()] == ["Hpet_leaf"]
+    beb = "Naive\n   3 G 0.97\n\nBayes Empirical Bayes (BEB) analysis\nPositive sites for foreground lineages Prob(w>1):\n    12 S 0.613\n    47 D 0.957*\n   388 W 0.999**\n\nThe grid\n 6 V 0.4\nlnL(ntime: 5 np: 9):  -877.25  +0.0\n"
     path = put("beb.txt", beb)
-    assert [(r.site, r.aa, r.prob) for r in T.beb_sites(spark, path).collect()] == [(170, "K", 0.712), (200, "R", 0.981), (500, "E", 0.994)]
-    assert T.log_likelihood(spark, path).first().lnl == -1234.5
+    assert [(r.site, r.aa, r.prob) for r in T.beb_sites(spark, path).collect()] == [(12, "S", 0.613), (47, "D", 0.957), (388, "W", 0.999)]
+    assert T.log_likelihood(spark, path).first().lnl == -877.25
 
 
 def test_placements(spark, put):
@@ -114,7 +114,7 @@ def test_structures_and_models(spark, put):
     got = sorted((r.contig, r.start, r.identity, r.anchor, r.protein) for r in T.miniprot(spark, put("m.gff", gff)).collect())
     assert got == [("c1", 5, 0.98, "A1", "MKL*"), ("c2", 1, 0.9, "B2", "MM")]
     assert [(r.gene, r.embedding) for r in T.embeddings(spark, put("e.tsv", "g\t1.5,-2.0\n")).collect()] == [("g", [1.5, -2.0])]
-    assert [(r.id, r.name) for r in T.working_ids(spark, put("ids.txt", "0_1: Mcry_a desc\n")).collect()] == [("0_1", "Mcry_a")]
+    assert [(r.id, r.name) for r in T.working_ids(spark, put("ids.txt", "0_1: Zmon_a desc\n")).collect()] == [("0_1", "Zmon_a")]
     assert sorted(r.gene for r in T.summary_members(spark, put("summary.tsv", "family_id\tround\tgene_list\nR1_OG1\t1\ta,b\n")).collect()) == ["a", "b"]
 
 

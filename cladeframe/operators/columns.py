@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.exprs import alignment_digest
-from cladeframe.stage import staged
+from cladeframe.stage import running_sum, staged
 
 GAP = "-"
 #: Residues as they are met: cells hold one code point each.
@@ -102,8 +102,8 @@ def choose_reference(rows: DataFrame, seq_id: str, aligned: str, *keys: str) ->
 def column_map(cell: DataFrame, columns: DataFrame, reference) -> DataFrame:
     """kept (from 1), col, ref_pos for the columns given, by the residues of a reference sequence."""
     ref = residue_numbers(cell.where(F.col("seq_id") == reference)).select("col", F.col("ungapped").alias("ref_pos"))
-    kept = F.row_number().over(Window.orderBy("col")).cast("long").alias("kept")
-    return columns.select("col").join(ref, "col", "left").select(kept, "col", "ref_pos")
+    numbered = running_sum(columns.select("col").withColumn("_one", F.lit(1)), ["col"], "_one", "kept", "column-map")
+    return numbered.join(ref, "col", "left").select("kept", "col", "ref_pos")
 
 
 def translate_columns(source: DataFrame, target: DataFrame, via) -> DataFrame:

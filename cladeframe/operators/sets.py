@@ -136,6 +136,17 @@ def interval_overlaps(sites: DataFrame, site: str, windows: DataFrame, lo: str,
     return sites.join(met, [*by, site], "left")
 
 
+def union_length(intervals: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
+    """key and covered: the positions that a key's intervals (inclusive) cover together, for keys of any number of intervals.
+
+    Equal intervals count once; overlapping ones form islands over ranges of all keys, and islands' lengths are summed.
+    """
+    from cladeframe.operators.selection import loci
+
+    islands = loci(intervals.select(key, lo, hi).distinct(), key, lo, hi).groupBy(key, "locus").agg(F.max(hi).alias("_end"))
+    return islands.groupBy(key).agg(F.sum(F.col("_end") - F.col("locus") + 1).alias("covered"))
+
+
 def crossed_windows(sites: DataFrame, site: str, windows: DataFrame, lo: str, hi: str, seq: str, signal: str, by: list[str] | None = None) -> DataFrame:
     """All sites with n_windows, the sequences of their windows in order, and the windows' signals (empty ones left out)."""
     by = by or []

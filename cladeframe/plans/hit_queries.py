@@ -95,9 +95,7 @@ e AS (SELECT family, p FROM (SELECT DISTINCT family, unnest(generate_series(lo,
 )
 def interval_union_coverage(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("family"), (F.col("l_linenumber") * 10).cast("long").alias("lo"), (F.col("l_linenumber") * 10 + F.col("l_quantity")).cast("long").alias("hi"))
-    # Positions come in few values: distinct intervals before they are gathered.
-    spans = li.groupBy("family").agg(F.collect_set(F.struct("lo", "hi")).alias("s"))
-    return spans.select("family", X.merged_length(F.col("s")).alias("covered"), F.round(X.coverage(F.col("s"), F.lit(200.0)), 6).alias("coverage"))
+    return S.union_length(li, "family", "lo", "hi").select("family", "covered", F.round(F.col("covered") / F.lit(200.0), 6).alias("coverage"))
 
 
 PAIRS = "p AS (SELECT least(a.l_suppkey, b.l_suppkey) AS a, greatest(a.l_suppkey, b.l_suppkey) AS b, max(a.l_quantity + b.l_quantity) AS best FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2)"

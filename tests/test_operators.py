@@ -282,6 +282,13 @@ def test_loci_of_crowded_contigs(spark, gap):
         assert sorted(tuple(x) for x in kept) == sorted(greedy(rows))
 
 
+def test_what_intervals_cover_together(spark):
+    r = random.Random(8)
+    rows = [(k, (lo := r.randrange(300)), lo + r.randrange(25)) for k in ("a", "b") for _ in range(60)] + [("c", 5, 5), ("c", 5, 5), ("c", 6, 6), ("d", -3, -1)]
+    want = {k: len({p for x, lo, hi in rows if x == k for p in range(lo, hi + 1)}) for k in "abcd"}
+    assert {x.k: x.covered for x in S.union_length(frame(spark, rows, "k string, lo int, hi int"), "k", "lo", "hi").collect()} == want
+
+
 def test_batches_of_equal_cost(spark):
     r = random.Random(4)
     items = frame(spark, [(i, r.choice([30, 200, 210, 900, 2500])) for i in range(900)], "id int, length int").repartition(6)

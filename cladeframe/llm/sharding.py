@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import global_index, need, staged
+from cladeframe.llm.common import BROADCAST_IDS, global_index, need, staged
 
 N_SHARDS = 40
 BITS = 5
@@ -94,14 +94,49 @@ def quantised(df: DataFrame, numbers: list[str], names: list[str], bits: int) ->
     return df.withColumn("cell", cell)
 
 
+def _whole_groups(numbered: DataFrame, n_rows: int, n_shards: int) -> DataFrame:
+    """old, new: exchanges of rows of `numbered` (_row, n, size, text_crc32, text_hash) that bring groups parted by a cut into one shard.
+
+    A group lies in one run of rows, so a cut parts one group at most. Its smaller part changes places with as many rows that are
+    in no group: those of the half of the other shard that is next to the cut, the nearest first. If that half has too few, the
+    larger part changes places instead; if neither can, or the group spans more than one cut, it stays parted.
+    """
+    spark = numbered.sparkSession
+    n_rows = max(n_rows, 1)
+    first = [-(-s * n_rows // n_shards) for s in range(n_shards + 1)]
+    shard = F.expr(f"CAST((_row * {n_shards}L) div {n_rows}L AS INT)")
+    ends = numbered.where("n > 1").groupBy("size", "text_crc32", "text_hash").agg(F.min("_row").alias("lo"), F.max("_row").alias("hi"))
+    # One row a cut at most.
+    parted = ends.where(F.expr(f"(hi * {n_shards}L) div {n_rows}L - (lo * {n_shards}L) div {n_rows}L = 1")).select("lo", "hi").collect()
+    middle = F.element_at(F.array(*[F.lit((first[s] + first[s + 1]) // 2) for s in range(n_shards)]), shard + 1)
+    singles = numbered.where("n = 1").select("_row", (2 * shard + (F.col("_row") >= middle).cast("int")).alias("half"))
+    have = {r["half"]: r["k"] for r in singles.groupBy("half").agg(F.count("*").alias("k")).collect()} if parted else {}
+    turns = []
+    for r in parted:
+        right = r["hi"] * n_shards // n_rows
+        cut = first[right]
+        # (rows that move, where they begin, the half that they go to)
+        ways = sorted([(cut - r["lo"], r["lo"], 2 * right), (r["hi"] + 1 - cut, cut, 2 * right - 1)])
+        turns += [(half, start, k, cut) for k, start, half in ways if have.get(half, 0) >= k][:1]
+    if not turns:
+        return spark.createDataFrame([], "old long, new long")
+    plan = spark.createDataFrame(turns, "half int, start long, k long, cut long")
+    near = singles.join(F.broadcast(plan), "half").withColumn("away", F.abs(F.col("_row") - F.col("cut")))
+    ranked = staged(global_index(near, [F.col("half"), F.col("away")], "_at", "shard-singles"), "shard-near")
+    begins = ranked.groupBy("half").agg(F.min("_at").alias("_begin"))
+    pairs = ranked.join(F.broadcast(begins), "half").withColumn("_rank", F.col("_at") - F.col("_begin")).where("_rank < k").select(F.col("_row").alias("old"), (F.col("start") + F.col("_rank")).alias("new"))
+    return pairs.unionByName(pairs.select(F.col("new").alias("old"), F.col("old").alias("new")))
+
+
 def hilbert_shards(docs: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS) -> DataFrame:
     """Place every row of docs (doc_id, text, lang, source) in a shard.
 
     Returns doc_id, lang, source, size, text_crc32, cell, curve, shard, slot. Dimensions: size of the
     text, language, source. Null text: no bytes, CRC of the empty text. Null language or source: cell
     0. Equal texts form a group that lies in one cell, that of its least language and source, and within a curve
-    index rows are ordered by CRC, text hash and doc_id: a group is one run of rows, parted only where a shard is
-    full. Repeated rows each get a slot. Shards differ by one row at most. An empty table gives an
+    index rows are ordered by CRC, text hash and doc_id: a group is one run of rows. Where a cut would part it, rows without
+    copies change places with a part of it, so only groups too large for that are in several shards. Repeated rows each get
+    a slot. Shards differ by one row at most. An empty table gives an
     empty result. Other columns of docs are ignored. Texts aren't shuffled.
     """
     need(docs, "doc_id", "text", "lang", "source")
@@ -115,27 +150,27 @@ def hilbert_shards(docs: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS)
         F.xxhash64(text).alias("text_hash"),
     )
     rows = staged(rows, "shard-sizes")  # the texts are read once
-    # Only groups whose rows differ in language or source are joined; copies are counted before they are shuffled.
-    names = [F.min(n).alias(f"one_{n}") for n in ("lang", "source")]
-    mixed = F.min("lang").eqNullSafe(F.max("lang")) & F.min("source").eqNullSafe(F.max("source")) & (F.count("lang").isin(0, F.count("*"))) & (F.count("source").isin(0, F.count("*")))
-    groups = rows.groupBy("size", "text_crc32", "text_hash").agg(F.count("*").alias("n"), (~mixed).alias("mixed"), *names).where("n > 1 AND mixed").drop("n", "mixed").withColumn("grouped", F.lit(True))
-    rows = rows.join(groups, ["size", "text_crc32", "text_hash"], "left")
-    rows = rows.withColumns({f"group_{n}": F.when(F.col("grouped"), F.col(f"one_{n}")).otherwise(F.col(n)) for n in ("lang", "source")})
+    n_rows = rows.count()
+    # Copies are counted before they are shuffled.
+    names = [F.min(c).alias(f"one_{c}") for c in ("lang", "source")]
+    alike = F.min("lang").eqNullSafe(F.max("lang")) & F.min("source").eqNullSafe(F.max("source")) & (F.count("lang").isin(0, F.count("*"))) & (F.count("source").isin(0, F.count("*")))
+    groups = rows.groupBy("size", "text_crc32", "text_hash").agg(F.count("*").alias("n"), (~alike).alias("mixed"), *names).where("n > 1")
+    rows = rows.join(groups, ["size", "text_crc32", "text_hash"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    # A group whose rows differ in language or source goes by the least of them.
+    rows = rows.withColumns({f"group_{c}": F.when(F.col("mixed"), F.col(f"one_{c}")).otherwise(F.col(c)) for c in ("lang", "source")})
     cells = quantised(staged(rows, "shard-groups"), ["size"], ["group_lang", "group_source"], bits)
     curve = hilbert_table(docs.sparkSession, 3, bits)
     # 2**15 rows of two ints, whatever the input.
     placed = cells.join(F.broadcast(curve), "cell")
     keys = [F.col("curve"), F.col("text_crc32"), F.col("text_hash"), F.col("doc_id")]
-    numbered = global_index(placed, keys, "_row", "shard-order")
-    total = rows.agg(F.count("*").alias("_total"))
-    k = F.lit(n_shards).cast("long")
-    shard = F.expr(f"(_row * {n_shards}L) div _total")
-    first = F.expr(f"(_shard * _total + {n_shards - 1}L) div {n_shards}L")
+    numbered = staged(global_index(placed, keys, "_row", "shard-order"), "shard-rows")
+    moves = staged(_whole_groups(numbered, n_rows, n_shards), "shard-moves")
+    few = moves.count() <= BROADCAST_IDS
+    moved = numbered.join(F.broadcast(moves) if few else moves, numbered["_row"] == moves["old"], "left").withColumn("_row", F.coalesce("new", "_row"))
+    first = F.expr(f"(shard * {n_rows}L + {n_shards - 1}L) div {n_shards}L")
     return (
-        numbered.join(F.broadcast(total))  # one row
-        .withColumn("_shard", F.least(shard, k - 1))
+        moved.withColumn("shard", F.expr(f"CAST((_row * {n_shards}L) div {max(n_rows, 1)}L AS INT)"))
         .withColumn("slot", F.col("_row") - first)
-        .withColumn("shard", F.col("_shard").cast("int"))
         .select("doc_id", "lang", "source", "size", "text_crc32", "cell", "curve", "shard", "slot")
     )
 

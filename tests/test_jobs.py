@@ -2,8 +2,12 @@
 
 import json
 import logging
+import os
 import statistics
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ from jobs import screen_sequences as Q
 from jobs.common import settings
 from tests.test_queries import DATA
 
+ROOT = Path(__file__).resolve().parent.parent
 SEQS = "id long, seq string, species string, family string"
 SCREEN = Q.Screening(id="id", buckets=8, zscore_min_n=5)
 
@@ -216,6 +221,18 @@ def test_settings_and_command_line(tmp_path):
             job.main(["--out", "x"])
 
 
+def test_the_command_line_runs_a_job_and_logs(spark, tmp_path):
+    rows = chain(3)
+    put(spark, rows, f"{tmp_path}/hits", HITS)
+    (tmp_path / "c.json").write_text(json.dumps({"min_score": 50.0, "min_seed_score": 500.0}))
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false pyspark-shell", "PYSPARK_GATEWAY_PORT": "", "SPARK_LOCAL_IP": "127.0.0.1"}
+    env = {k: v for k, v in env.items() if not k.startswith("PYSPARK_GATEWAY")}
+    ran = subprocess.run([sys.executable, "-m", "jobs.grow_families", "--hits", f"{tmp_path}/hits", "--out", f"{tmp_path}/out", "--config", f"{tmp_path}/c.json"], cwd=ROOT, env=env, capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr[-2000:]
+    assert f"cladeframe.grow_families read {len(rows)} hits" in ran.stderr and "in families after" in ran.stderr
+    assert members(spark.read.schema(G.MEMBERS).parquet(f"{tmp_path}/out/members")) == brute(rows)
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no tables")
 def test_the_text_table_dealt_over_two_runs(spark, tmp_path):
     """A copy of documents that grows gives what one run over the whole gives."""

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeframe.llm.common import freed, need
@@ -34,8 +34,12 @@ REJECT, LOW = 0.5, 0.1
 ENOUGH = 20
 #: Texts under 2**SHORT letters, and lengths without calibrating rows, are rejected below this cosine only.
 BARE, SHORT = 0.05, 5
-#: Texts vectorised at once: their dense counts take 64 KB each.
-SLICE = 128
+#: No more than this many times FIT_ROWS rows of a language are ever fitted, whatever their ids and texts.
+FIT_MOST = 2
+#: Labels that centroids are learned for, those with the most rows; others are taken for errors.
+MOST_LANGUAGES = 1000
+#: Texts vectorised at once, and about their bytes: dense counts take 64 KB a text, n-grams some 80 bytes a character.
+SLICE, SLICE_BYTES = 128, 1 << 18
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -125,15 +129,15 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CLUSTERS) -> C
     """Learn from the columns key (any), text and lang of rows with a lang.
 
     Document frequencies of n-grams are over all rows, summed by n-gram on the executors. The centroids are
-    clustered on the driver from a sample of expected fit_rows rows a language, taken by a hash of key;
-    the driver holds languages x fit_rows sparse vectors.
+    clustered on the driver from a sample of expected fit_rows rows a language, and FIT_MOST times that at most, taken by
+    a hash of key and text, for the MOST_LANGUAGES labels with the most rows; the driver holds the sample's sparse vectors.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("key"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for _, texts in in_slices(batch.column(0), most=SLICE):
+            for _, texts in in_slices(batch.column(0), SLICE_BYTES, SLICE):
                 counts, _ = gram_counts(texts)
                 total += (counts > 0).sum(axis=0)
                 n += len(texts)
@@ -148,19 +152,23 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CLUSTERS) -> C
     if df[BUCKETS] == 0:
         return model
     model.idf = np.log1p(df[BUCKETS] / (1 + df[:BUCKETS])).astype(np.float32)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    part = F.xxhash64("key").bitwiseAND(F.lit((1 << 40) - 1))
-    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1 << 40, math.ceil((1 << 40) * fit_rows / n)))) for name, n in sizes.items()])
+    hashed = rows.withColumn("part", F.xxhash64("key", "text").bitwiseAND(F.lit((1 << 40) - 1)))
+    sizes = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.min("part").alias("least")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    # The row with the least hash is always taken: a language that repeats a few rows is learned too.
+    shares = [(r["lang"], max(r["least"], min(1 << 40, math.ceil((1 << 40) * fit_rows / r["n"])) - 1)) for r in sizes]
+    shared = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, share long"))
+    first_rows = F.row_number().over(Window.partitionBy("lang").orderBy("part", "key"))
+    picked = hashed.join(shared, "lang").where("part <= share").withColumn("rank", first_rows).where(F.col("rank") <= FIT_MOST * fit_rows)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0)
-            for first, texts in in_slices(batch.column(1), most=SLICE):
+            for first, texts in in_slices(batch.column(1), SLICE_BYTES, SLICE):
                 counts, letters = gram_counts(texts)
                 packed = [(at := np.flatnonzero(row)).astype(np.int32).tobytes() + row[at].astype(np.int32).tobytes() for row in counts]
                 yield pa.RecordBatch.from_arrays([langs.slice(first, len(texts)), pa.array(letters), pa.array(packed, pa.binary())], names=["lang", "letters", "packed"])
 
-    sample = rows.where(part < share).select("lang", "text").mapInArrow(freed(sparse), "lang string, letters long, packed binary").orderBy("lang", "packed").collect()
+    sample = picked.select("lang", "text").mapInArrow(freed(sparse), "lang string, letters long, packed binary").orderBy("lang", "packed").collect()
     by: dict[str, list] = {}
     for r in sample:
         if r["letters"]:
@@ -213,7 +221,7 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in in_slices(batch.column(1), most=SLICE):
+            for first, texts in in_slices(batch.column(1), SLICE_BYTES, SLICE):
                 names, score, rejected = model.predict(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
@@ -237,10 +245,9 @@ def keep_known(docs: DataFrame, model: Centroids | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.names.index("text")
-            keep = np.zeros(batch.num_rows, bool)
-            for first, some in in_slices(batch.column(at).cast(pa.binary()), most=SLICE):
-                keep[first : first + len(some)] = ~model.predict(some)[2]
-            yield batch.filter(pa.array(keep))
+            # A slice goes back as soon as it is judged: neither side holds a second batch of texts.
+            for first, some in in_slices(batch.column(at).cast(pa.binary()), SLICE_BYTES, SLICE):
+                yield batch.slice(first, len(some)).filter(pa.array(~model.predict(some)[2]))
 
     return docs.mapInArrow(freed(run), docs.schema)
 

@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pytest
 
 from cladeframe.llm import langid, quality
 
+from .conftest import prose
+
 LANGUAGES = {"aa": ["ba", "be", "bi", "ter", "lon"], "cc": ["cha", "sto", "gri", "ump", "ol"], "ee": ["éla", "vou", "ñan", "ix", "qué"]}
 
 
@@ -114,3 +117,35 @@ def test_votes_and_posterior_against_plain_python():
         for k, x in enumerate(row):
             good, bad = good * model.says[k, 1, x], bad * model.says[k, 0, x]
         assert abs(p - good / (good + bad)) < 1e-9
+
+
+def test_the_language_sample_is_bounded_where_ids_or_texts_repeat(spark, monkeypatch):
+    rows = [(1, prose(i % 2, 40), "en") for i in range(3000)] + [(None, prose(9, 30), "fr")] * 500 + [(i, prose(i, 20), f"l{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "key long, text string, lang string").repartition(4)
+    seen = []
+    kept = langid.vectors
+    monkeypatch.setattr(langid, "vectors", lambda counts, idf: (seen.append(len(counts)), kept(counts, idf))[1])
+    model = langid.train(df, fit_rows=50)
+    assert max(seen) <= langid.FIT_MOST * 50 and len(model.languages) == 42
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    assert langid.train(df, fit_rows=50).languages == ["en", "fr"]
+
+
+def test_language_vectors_and_rejection_against_plain_python(spark):
+    """IDF, cosine and the floor of a text, from their definitions."""
+    import math
+
+    rows = [(i, prose(i, 30 + i % 50), "en" if i % 2 else "fr") for i in range(300)]
+    model = langid.train(spark.createDataFrame(rows, "key long, text string, lang string"), fit_rows=100)
+    counts, letters = langid.gram_counts([t.encode() for _, t, _ in rows])
+    has = [sum(1 for c in counts if c[b]) for b in range(langid.BUCKETS)]
+    for b in (0, 17, 900, 8191):
+        assert model.idf[b] == np.float32(math.log1p(len(rows) / (1 + has[b])))
+    names, score, rejected = model.predict([t.encode() for _, t, _ in rows[:20]])
+    for k in range(20):
+        v = [math.log1p(n) * float(w) for n, w in zip(counts[k], model.idf, strict=True)]
+        norm = math.sqrt(sum(x * x for x in v))
+        cos = [sum(x * float(p) for x, p in zip(v, point, strict=True)) / norm for point in model.points]
+        best = max(range(len(cos)), key=cos.__getitem__)
+        assert score[k] == pytest.approx(cos[best], abs=1e-5) and names[k] == model.languages[model.owner[best]]
+        assert rejected[k] == (score[k] < model.floor[model.owner[best]][int(math.log2(letters[k]))])

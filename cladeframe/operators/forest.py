@@ -253,11 +253,12 @@ def parsimony(nodes: DataFrame, states: DataFrame) -> DataFrame:
     said = states.where("state IS NOT NULL").select(*own, "state").distinct()
     base = staged(nodes.select(*NODE, "parent_id", "name", "is_leaf").withColumn("idx", F.monotonically_increasing_id()), "fitch-nodes")
     tips = staged(base.where("is_leaf").join(said, own), "fitch-tips").select("tree_id", "idx", "state")
-    ranks = staged(tips.select("tree_id", "state").distinct(), "fitch-states")
-    if not ranks.groupBy("tree_id").count().where(F.col("count") > MOST_STATES).isEmpty():
+    # At most MOST_STATES rows a tree go on.
+    order = Window.partitionBy("tree_id").orderBy("state")
+    ranks = staged(tips.select("tree_id", "state").distinct().withColumn("bit", F.row_number().over(order)).where(F.col("bit") <= MOST_STATES + 1), "fitch-bits")
+    most = ranks.agg(F.max("bit")).first()[0] or 0
+    if most > MOST_STATES:
         raise ValueError(f"a tree has more than {MOST_STATES} states")
-    # At most MOST_STATES rows a tree.
-    ranks = staged(ranks.withColumn("bit", F.row_number().over(Window.partitionBy("tree_id").orderBy("state"))), "fitch-bits")
     bits = lookup(tips, ranks, ["tree_id", "state"]).groupBy("idx").agg(F.min("bit").alias("bit"))
     parents = base.select("tree_id", F.col("node_id").alias("parent_id"), F.col("idx").alias("parent"))
     linked = lookup(base.where("parent_id IS NOT NULL"), parents, ["tree_id", "parent_id"]).select("tree_id", "idx", "parent", "is_leaf")
@@ -266,10 +267,10 @@ def parsimony(nodes: DataFrame, states: DataFrame) -> DataFrame:
     indexed = staged(indexed, "fitch-indexed")
     if indexed.count() != base.count():
         raise ValueError("a parent is not a node of the tree")
-    sets = staged(parsimony_sets(indexed.drop("tree_id")), "fitch-sets")
+    sets = parsimony_sets(indexed.drop("tree_id"))
     # Bits run from 1; 0 is no state.
     lowest = F.when(F.col("set") == 0, F.lit(0)).otherwise(F.expr("bit_count((set & -set) - 1) + 1")).cast("int")
-    n = F.lit(ranks.agg(F.max("bit")).first()[0] or 0)
+    n = F.lit(most)
     inside = lambda p: F.col("set").bitwiseAND(F.pow(F.lit(2.0), (p - 1).cast("double")).cast("long")) != 0
     step = F.transform(F.sequence(F.lit(0), n), lambda p: F.when((p > 0) & inside(p), p).when(F.col("set") != 0, lowest).when(F.col("is_leaf"), F.lit(0)).otherwise(p).cast("int"))
     joined = indexed.join(sets, "idx")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cladeframe.llm.common import BROADCAST_IDS, global_index, need, staged
 
 N_SHARDS = 40
+SALTS = 16
 BITS = 5
 
 
@@ -155,7 +156,10 @@ def hilbert_shards(docs: DataFrame, n_shards: int = N_SHARDS, bits: int = BITS)
     names = [F.min(c).alias(f"one_{c}") for c in ("lang", "source")]
     alike = F.min("lang").eqNullSafe(F.max("lang")) & F.min("source").eqNullSafe(F.max("source")) & (F.count("lang").isin(0, F.count("*"))) & (F.count("source").isin(0, F.count("*")))
     groups = rows.groupBy("size", "text_crc32", "text_hash").agg(F.count("*").alias("n"), (~alike).alias("mixed"), *names).where("n > 1")
-    rows = rows.join(groups, ["size", "text_crc32", "text_hash"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    # The rows of a text with very many copies look its group up in SALTS places.
+    dealt = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(dealt, ["size", "text_crc32", "text_hash", "salt"], "left").drop("salt").withColumn("n", F.coalesce("n", F.lit(1)))
     # A group whose rows differ in language or source goes by the least of them.
     rows = rows.withColumns({f"group_{c}": F.when(F.col("mixed"), F.col(f"one_{c}")).otherwise(F.col(c)) for c in ("lang", "source")})
     cells = quantised(staged(rows, "shard-groups"), ["size"], ["group_lang", "group_source"], bits)

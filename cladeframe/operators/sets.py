@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.ids import dots_folded, species_of
@@ -136,6 +136,44 @@ def interval_overlaps(sites: DataFrame, site: str, windows: DataFrame, lo: str,
     return sites.join(met, [*by, site], "left")
 
 
+def interval_summary(sites: DataFrame, site: str, windows: DataFrame, lo: str, hi: str, by: list[str] | None = None) -> DataFrame:
+    """All sites, each with n_windows, narrowest and widest (hi - lo; null without any) of the windows that hold it: matches are counted, never listed.
+
+    With 2**k <= hi - lo < 2**(k + 1) a window ends in the next bin of 2**k positions or the one after: it holds its first bin from lo on, its last
+    up to hi and at most one whole bin between. Windows with the same piece are one row, a position is a row per width there is, and
+    in each bin a pass from either end sums the pieces met: work in proportion to windows and positions, however many meet. A bin's
+    rows are sorted in one task. Windows without a bound, or that end before they begin, hold nothing.
+    """
+    by = by or []
+    known = windows.where(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi)))
+    sized = known.select(*by, F.col(lo).cast("long").alias("_lo"), F.col(hi).cast("long").alias("_hi")).withColumn("_width", F.col("_hi") - F.col("_lo"))
+    sized = sized.withColumn("_level", F.when(F.col("_width") == 0, F.lit(0)).otherwise(F.length(F.bin("_width")) - 1).cast("int"))
+    first, last = F.expr("shiftright(_lo, _level)"), F.expr("shiftright(_hi, _level)")
+    opens, asked, closes = 0, 1, 2  # the order of rows at one position
+    piece = lambda b, kind, at: F.struct(b.alias("_bin"), F.lit(kind).alias("_kind"), at.alias("_at"))
+    middle = F.when(last - first == 2, piece(first + 1, opens, F.expr("shiftleft(shiftright(_lo, _level) + 1, _level)")))
+    pieces = F.array_compact(F.array(piece(first, opens, F.col("_lo")), middle, F.when(last > first, piece(last, closes, F.col("_hi")))))
+    held = sized.select(*by, "_level", "_width", F.inline(pieces)).groupBy(*by, "_level", "_bin", "_kind", "_at")
+    held = held.agg(F.count("*").alias("_n"), F.min("_width").alias("_least"), F.max("_width").alias("_most"))
+    # One row: the widths there are.
+    levels = sized.agg(F.collect_set("_level").alias("_levels"))
+    at = sites.where(F.col(site).isNotNull()).select(*by, F.col(site).cast("long").alias("_at")).distinct().crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels"))
+    none = F.lit(None).cast("long")
+    at = at.select(*by, "_level", F.expr("shiftright(_at, _level)").alias("_bin"), F.lit(asked).alias("_kind"), "_at", none.alias("_n"), none.alias("_least"), none.alias("_most"))
+    bin_ = Window.partitionBy(*by, "_level", "_bin").rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda kind, c: F.when(F.col("_kind") == kind, F.col(c))
+    passes = ((opens, "_a", bin_.orderBy("_at", "_kind")), (closes, "_b", bin_.orderBy(F.desc("_at"), F.desc("_kind"))))
+    sums = [f(of(kind, c)).over(w).alias(f"{c}{end}") for kind, end, w in passes for f, c in ((F.sum, "_n"), (F.min, "_least"), (F.max, "_most"))]
+    met = held.unionByName(at).select(*by, "_at", "_kind", *sums).where(F.col("_kind") == asked).groupBy(*by, F.col("_at").alias("_site"))
+    n = F.coalesce("_n_a", F.lit(0)) + F.coalesce("_n_b", F.lit(0))
+    out = met.agg(F.sum(n).alias("n_windows"), F.min(F.least("_least_a", "_least_b")).alias("narrowest"), F.max(F.greatest("_most_a", "_most_b")).alias("widest"))
+    same = F.col(site).cast("long") == F.col("_site")
+    for k in by:
+        out = out.withColumnRenamed(k, f"_by_{k}")
+        same = same & (F.col(k) == F.col(f"_by_{k}"))
+    return sites.join(out, same, "left").select(*sites.columns, F.coalesce("n_windows", F.lit(0).cast("long")).alias("n_windows"), "narrowest", "widest")
+
+
 def union_length(intervals: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
     """key and covered: the positions that a key's intervals (inclusive) cover together, for keys of any number of intervals.
 

@@ -310,9 +310,14 @@ def summary_members(spark: SparkSession, path) -> DataFrame:
 
 
 def miniprot(spark: SparkSession, path) -> DataFrame:
-    """contig, start, end, strand, identity, rank, anchor, protein: each mRNA with the ##STA line right before it, used once."""
-    doc = whole(spark, path).select("file", F.regexp_extract_all("value", F.lit(r"##STA\t([^\n]*)\n(?:##[^\n]*\n)*([^\n#]*\tmRNA\t[^\n]*)"), F.lit(0)).alias("m"))
-    rows = doc.select("file", F.explode("m").alias("x")).select("file", F.regexp_extract("x", r"^##STA\t([^\n]*)", 1).alias("protein"), F.split(F.element_at(F.split("x", "\n"), -1), "\t").alias("f"))
+    """contig, start, end, strand, identity, rank, anchor, protein: each mRNA with the ##STA line right before it, used once.
+
+    A ##STA line and what follows it up to the next is a record, so files of any size are read in splits.
+    """
+    # The first record of a file keeps its mark; if it has none, it is what stands before the first ##STA line.
+    record = r"^(?:##STA)?\t([^\n]*)\n(?:##[^\n]*\n)*([^\n#]*\tmRNA\t[^\n]*)"
+    part = lambda n: F.regexp_extract("value", record, n)
+    rows = spark.read.option("lineSep", "\n##STA").text(path).where(F.col("value").rlike(record)).select(part(1).alias("protein"), F.split(part(2), "\t").alias("f"))
     attr = lambda n, p: F.regexp_extract(field(8), rf"(?:^|;){n}=({p})", 1)
     return rows.select(field(0).alias("contig"), field(3, "int").alias("start"), field(4, "int").alias("end"), field(6).alias("strand"), attr("Identity", r"[0-9.]+").try_cast("double").alias("identity"), attr("Rank", r"\d+").try_cast("int").alias("rank"), F.regexp_extract(field(8), r"(?:^|;)Target=([^ ;]+)", 1).alias("anchor"), "protein")
 

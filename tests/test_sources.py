@@ -118,6 +118,24 @@ def test_structures_and_models(spark, put):
     assert sorted(r.gene for r in T.summary_members(spark, put("summary.tsv", "family_id\tround\tgene_list\nR1_OG1\t1\ta,b\n")).collect()) == ["a", "b"]
 
 
+def test_gene_models_are_read_in_splits(spark, tmp_path):
+    """A model is a record: no row holds a file, wherever the file is cut; lines before the first protein are no model."""
+    head = "##gff-version 3\nc0\tminiprot\tmRNA\t1\t2\t.\t+\t.\tID=0;Rank=1;Identity=0.5;Target=A 1 4\n"
+    one = "##STA\tM{0}*\n##ATN\tx\nc1\tminiprot\tmRNA\t{0}\t{0}\t.\t+\t.\tID={0};Rank=1;Identity=0.98;Target=A{0} 1 4\nc1\tminiprot\tCDS\t1\t2\n##STA\tunused\n##PAF\n"
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.gff").write_text(head + "".join(one.format(i) for i in range(3000)))
+    (tmp_path / "m" / "b.gff").write_text("".join(one.format(i) for i in range(3000, 3010)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")
+    try:
+        found = T.miniprot(spark, str(tmp_path / "m"))
+        rows = found.select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.start, r.protein, r.anchor) for r in rows) == [(i, f"M{i}*", f"A{i}") for i in range(3010)]
+    assert len({r.task for r in rows}) > 20
+
+
 def test_newest_file(spark, put, tmp_path):
     import os
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.operators.topk import best_hit
+from cladeframe.stage import spread
 
 
 def weighted_names(rows: DataFrame, group: str, description: str, source: str, weights: dict[str, float], sizes: DataFrame | None = None, direct: str = "direct") -> DataFrame:
@@ -87,9 +88,11 @@ def rollup(rows: DataFrame, verdict: str, buckets: dict[str, list[str]]) -> Data
     return F.broadcast(names).join(n, "verdict", "left").groupBy("bucket").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
-def unordered_best(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
-    """The best score of each unordered pair of different ids."""
-    return pairs.where(F.col(a) != F.col(b)).groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.max(score).alias("best"))
+def unordered_best(pairs: DataFrame, a: str, b: str, score: str, rows: int | None = None) -> DataFrame:
+    """The best score of each unordered pair of different ids. rows: about how many pairs there are; more of them take more tasks."""
+    both = pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col(score).alias("_score"))
+    both = both if rows is None else spread(both, rows, "a", "b")
+    return both.groupBy("a", "b").agg(F.max("_score").alias("best"))
 
 
 def coherence(groups: DataFrame, pairs: DataFrame, member: str, group: str) -> DataFrame:

@@ -76,6 +76,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+#: Rows that one task of a spread table gets, on average.
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys over tasks in proportion to rows, so that a task's share doesn't grow with the table. Grouping and joins by these keys (or more) follow without another shuffle."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return df.repartition(tasks, *keys)
+
+
 def in_ranges(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
     """df, staged, sorted by keys over as many ranges as there are shuffle partitions; _range numbers them in order.
 

@@ -351,6 +351,16 @@ def test_interval_summary_lists_no_matches(spark):
     assert tuple(out) == (30_000, 900_000_000, 200_000, 200_000)
 
 
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    """A task's share of a spread table is bounded, whatever the number of shuffle partitions; grouping by its keys keeps the deal."""
+    monkeypatch.setattr("cladeframe.stage.TASK_ROWS", 100)
+    rows = spark.range(4000).select((F.col("id") % 1000).alias("a"), ((F.col("id") + 1) % 1000).alias("b"), F.col("id").alias("s"))
+    best = V.unordered_best(rows, "a", "b", "s", 4000)
+    per = best.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(p["count"] for p in per) == 1000 and len(per) > 30 and max(p["count"] for p in per) < 100
+    assert {(r.a, r.b): r.best for r in best.collect()} == {(min(i, (i + 1) % 1000), max(i, (i + 1) % 1000)): i + 3000 for i in range(1000)}
+
+
 def test_sites_with_their_windows_signals(spark):
     sites = frame(spark, [(3, "K"), (8, "L"), (3, "M"), (99, "N"), (None, "O")], "site int, aa string")
     windows = frame(spark, [(1, 5, "q2", "mTP"), (2, 9, "q1", ""), (2, 3, "q2", "SP"), (3, 3, "q1", None), (50, 40, "q9", "SP")], "lo int, hi int, seq string, sig string")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.exprs import erfc
-from cladeframe.stage import in_ranges, running_sum
+from cladeframe.operators.sets import BROADCAST_ROWS
+from cladeframe.stage import in_ranges, running_sum, staged
 
 
 def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
@@ -33,23 +36,56 @@ def group_medians(df: DataFrame, keys: list[str], value: str, name: str) -> Data
     most rows spreads over most ranges. Counts by key and range say which one or two ranges hold a key's middle, and only
     rows of these are ranked, each range on its own: no task holds a key.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    return _medians(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")), keys, value, name)
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)])
+
+
+def _medians(counted: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The medians of counted values (_c). Where only values near the middle are there, _skip counts a key's lower ones and _all all of them."""
+    part = "_skip" in counted.columns
     fixed = in_ranges(counted, [*keys, value], "medians")
     by_range = Window.partitionBy(*keys).orderBy("_range")
     # A row per key and range that it reaches.
-    held = fixed.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in")).withColumn("_upto", F.sum("_in").over(by_range)).withColumn("_n", F.sum("_in").over(Window.partitionBy(*keys)))
+    held = fixed.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in"), *[F.first(c).alias(c) for c in ("_skip", "_all") if part])
+    held = held.withColumn("_upto", F.sum("_in").over(by_range) + (F.col("_skip") if part else F.lit(0))).withColumn("_n", F.col("_all") if part else F.sum("_in").over(Window.partitionBy(*keys)))
     low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
     middle = held.withColumns({"_low": low, "_high": high, "_before": F.col("_upto") - F.col("_in")}).where("_before <= _high AND _upto > _low")
-    middle = middle.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_before", "_low", "_high")
-    same = F.col("_range") == F.col("_r")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    to = [f"_k{i}" for i in range(len(keys))]
+    middle = middle.select(*[F.col(k).alias(t) for k, t in zip(keys, to, strict=True)], F.col("_range").alias("_r"), "_before", "_low", "_high")
     inside = Window.partitionBy(*keys, "_range").orderBy(value)
-    ranked = fixed.join(middle, same).withColumn("_last", F.col("_before") + F.sum("_c").over(inside))
+    ranked = fixed.join(middle, _same([*keys, "_range"], [*to, "_r"])).withColumn("_last", F.col("_before") + F.sum("_c").over(inside))
     hit = ranked.where("_last > _low AND _last - _c <= _high")
     return hit.groupBy(*keys).agg(((F.min(value) + F.max(value)) / F.lit(2.0)).alias(name))
 
 
+def _bin(value: str) -> Column:
+    """A long that never falls as value grows: 64 bins for each factor of e, of either sign."""
+    v = F.col(value).cast("double")
+    size = F.floor(F.least(F.ln(F.abs(v)), F.lit(1000.0)) * 64) + 100_000
+    return F.when(F.isnan(v), F.lit(1_000_000)).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
+
+
+def dense_medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """As group_medians, of a number, for rows that are too many to shuffle and cheap to make twice.
+
+    Rows are counted by key and bin where they are, and only those in the bins that hold a key's middle are counted by value,
+    shuffled and ranked. A bin of any size is ranked, as group_medians ranks a key.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn("_bin", _bin(value))
+    upto = Window.partitionBy(*keys).orderBy("_bin")
+    held = rows.groupBy(*keys, "_bin").agg(F.count("*").alias("_in"))
+    held = held.withColumns({"_upto": F.sum("_in").over(upto), "_all": F.sum("_in").over(Window.partitionBy(*keys))}).withColumn("_before", F.col("_upto") - F.col("_in"))
+    middle = held.where("_before <= _all div 2 AND _upto > (_all - 1) div 2").withColumn("_skip", F.min("_before").over(Window.partitionBy(*keys)))
+    to = [f"_k{i}" for i in range(len(keys))]
+    middle = staged(middle.select(*[F.col(k).alias(t) for k, t in zip(keys, to, strict=True)], F.col("_bin").alias("_b"), "_skip", "_all"), "middle-bins")
+    few = F.broadcast(middle) if middle.count() <= BROADCAST_ROWS else middle
+    near = rows.join(few, _same([*keys, "_bin"], [*to, "_b"]))
+    return _medians(near.groupBy(*keys, value).agg(F.count("*").alias("_c"), F.first("_skip").alias("_skip"), F.first("_all").alias("_all")), keys, value, name)
+
+
 def mann_whitney(df: DataFrame, value: str, is_first: Column) -> DataFrame:
     """One row: n_a, n_b, u (of the first group), z, p. Ties share their mean rank; normal approximation without corrections.
 

@@ -399,3 +399,21 @@ def test_a_key_with_half_of_the_rows_is_ranked_by_many_tasks(spark):
 
     sizes = [r["n"] for r in in_ranges(df, ["k", "v"], "sizes").groupBy("_range").agg(F.count("*").alias("n")).collect()]
     assert max(sizes) < 2 * (sum(sizes) / len(sizes)), "the ranges that the ranks are taken in are near equal"
+
+
+def test_medians_by_bins_rank_the_middle_only(spark, monkeypatch):
+    """Values of either sign, zeros, infinities, ties, null keys: the medians of group_medians, though few values are ranked."""
+    import random
+
+    from cladeframe.operators import stats as T
+
+    r = random.Random(5)
+    rows = [("wide", r.uniform(-50, 100)) for _ in range(3000)] + [("even", v) for v in (-2.0, -1.0, 0.0, 5.0)] + [("zero", v) for v in (0.0, -0.0, 1e-300, -1e-300, 0.0)]
+    rows += [("ends", v) for v in (float("inf"), float("-inf"), 3.0, float("nan"))] + [(None, 1.0), (None, 4.0), ("none", None), ("same", 2.5), ("same", 2.5), ("apart", 1.0), ("apart", 9.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    seen, rank = [], T._medians
+    monkeypatch.setattr(T, "_medians", lambda counted, *a: seen.append(counted.agg(F.sum("_c")).first()[0]) or rank(counted, *a))
+    got = {x.k: x.m for x in T.dense_medians(df, ["k"], "v", "m").collect()}
+    assert got == {x.k: x.m for x in T.group_medians(df, ["k"], "v", "m").collect()} and got["even"] == -0.5 and got["apart"] == 5.0
+    assert seen[0] < 150 < 3000 < seen[1]
+    assert T.dense_medians(df.limit(0), ["k"], "v", "m").count() == 0

@@ -64,3 +64,21 @@ def test_pairs_of_leaves_are_dealt_over_tasks(spark, monkeypatch, tmp_path):
     _, _, d, _ = vote_queries._leaves(spark, str(tmp_path))
     per = [r["count"] for r in d.groupBy(F.spark_partition_id().alias("task")).count().collect()]
     assert sum(per) == 44_850 and len(per) > 30 and max(per) < 44_850 / 8
+
+
+def test_medians_over_pairs_shuffle_no_pairs(spark, tmp_path):
+    """Each gene's ratios are made where its leaf was dealt to; scores are those of pairs that are shuffled."""
+    from pyspark.sql import functions as F
+
+    from cladeframe.operators import prune as P
+    from cladeframe.plans import vote_queries
+
+    rows = spark.range(120).select(F.col("id").alias("s_suppkey"), (F.col("id") % 3 % 2).alias("s_nationkey"), ((F.col("id") * 7919) % 1009 - 300.25).alias("s_acctbal"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    leaves, ratios, d, expected = vote_queries._leaves(spark, str(tmp_path))
+    by_gene = ratios.groupBy("family", "gene").agg(F.median("ratio").alias("s"))
+    assert by_gene._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1, "leaves only"
+    scores = lambda r: sorted((x.family, x.gene, round(x.s_raw, 12), round(x.s_norm, 12)) for x in P.relative_scores(leaves, r).collect())
+    once = P.pair_ratios(leaves, d.select("family", "a", "b", "d"), expected)
+    assert ratios.count() == 2 * once.count() and scores(ratios) == scores(once)
+    assert sorted(P.absolute_scores(leaves, ratios).collect()) == sorted(P.absolute_scores(leaves, once).collect())

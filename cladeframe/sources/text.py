@@ -5,7 +5,7 @@ Where a format's first row wins, `at` carries the place of the row: file, split,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.ids import without_transcript
@@ -23,7 +23,30 @@ def _read(spark: SparkSession, path, sep: str | None = None) -> DataFrame:
 
 def lines(spark: SparkSession, path) -> DataFrame:
     """value, at: one row per line."""
-    return _read(spark, path).withColumn("value", F.regexp_replace("value", r"\r$", ""))
+    return _read(spark, path).withColumn("value", F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value")))
+
+
+def _fields(rows: DataFrame, pattern: str, value: Column) -> DataFrame:
+    """f, at: value split once a row; filters on fields stay above the generator, where they'd split it again each."""
+    return rows.select(F.explode(F.array(F.split(value, pattern))).alias("f"), "at")
+
+
+#: Bytes of text whose rows one task gets, on average, where rows are dealt by a key.
+TASK_BYTES = 16 << 20
+
+
+def _dealt(spark: SparkSession, path, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows of the files at path dealt by keys over tasks by the files' bytes, so that a task's share doesn't grow with them.
+
+    In `at` the file's name, most of a row, gives way to its place among the names. A key's rows meet in one task, which sorts
+    them and spills; grouping and ranking by these keys need no other shuffle.
+    """
+    # A row per file, of which the contents aren't read.
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_file"), F.col("length").alias("_size"))
+    size = files.agg(F.sum("_size")).first()[0] or 0
+    numbered = files.select("_file", F.row_number().over(Window.orderBy("_file")).alias("_no"))
+    rows = rows.join(F.broadcast(numbered), F.col("at.file") == F.col("_file"), "left").withColumn("at", F.struct("_no", "at.block", "at.row")).drop("_file", "_no")
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), *keys)
 
 
 def whole(spark: SparkSession, path) -> DataFrame:
@@ -33,7 +56,7 @@ def whole(spark: SparkSession, path) -> DataFrame:
 
 def tabbed(spark: SparkSession, path) -> DataFrame:
     """f (array of fields), at: tab-separated rows without comments and blank lines."""
-    return lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.split("value", "\t").alias("f"), "at")
+    return _fields(lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "")), "\t", F.col("value"))
 
 
 def field(n: int, kind: str = "string") -> Column:
@@ -87,7 +110,7 @@ def ortholog_groups(spark: SparkSession, path) -> DataFrame:
 
 
 def spaced(spark: SparkSession, path) -> DataFrame:
-    return lines(spark, path).where(~F.col("value").startswith("#")).select(F.split(F.trim("value"), r"\s+").alias("f"), "at")
+    return _fields(lines(spark, path).where(~F.col("value").startswith("#")), r"\s+", F.trim("value"))
 
 
 def domtblout(spark: SparkSession, path) -> DataFrame:
@@ -100,10 +123,9 @@ def domtblout(spark: SparkSession, path) -> DataFrame:
         field(13, "double").alias("dom_bits"), *[field(15 + k, "int").alias(n) for k, n in enumerate(("hmm_from", "hmm_to", "ali_from", "ali_to"))], "at",
     )
     whole_row = rows.dropna(subset=["seq_len", "hmm_len", "evalue", "bits", "dom_bits", "hmm_from", "hmm_to", "ali_from", "ali_to"])
-    first = lambda c: F.min_by(c, "at").alias(c)
-    domain = F.struct("at", "hmm_from", "hmm_to", "ali_from", "ali_to", "dom_bits")
-    out = whole_row.groupBy("gene", "family").agg(*map(first, ("seq_len", "hmm_len", "evalue", "bits")), F.sort_array(F.collect_list(domain)).alias("domains"))
-    return out.withColumn("domains", F.transform("domains", lambda d: d.dropFields("at")))
+    of_hit, of_domain = ("seq_len", "hmm_len", "evalue", "bits"), ("hmm_from", "hmm_to", "ali_from", "ali_to", "dom_bits")
+    met = _dealt(spark, path, whole_row, ["gene", "family"]).groupBy("gene", "family").agg(F.sort_array(F.collect_list(F.struct("at", *of_hit, *of_domain))).alias("_rows"))
+    return met.select("gene", "family", *[F.col("_rows")[0][c].alias(c) for c in of_hit], F.transform("_rows", lambda d: d.dropFields("at", *of_hit)).alias("domains"))
 
 
 def profile_hits(hits: DataFrame) -> DataFrame:
@@ -270,8 +292,6 @@ def jplace(spark: SparkSession, path) -> DataFrame:
     rows = one.select("file", "fields", F.explode(names).alias("gene"), F.col("x.p").alias("p")).select("file", "fields", "gene", F.explode("p").alias("p"))
     value = lambda n: F.element_at("p", F.nullif(F.array_position("fields", n), F.lit(0)).cast("int"))
     out = rows.select("file", "gene", value("edge_num").cast("int").alias("edge_num"), *[value(n).alias(n) for n in ("likelihood", "like_weight_ratio", "distal_length", "pendant_length")])
-    from pyspark.sql import Window
-
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("file", "gene").orderBy(F.col("like_weight_ratio").desc(), "edge_num")))
 
 

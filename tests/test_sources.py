@@ -190,3 +190,22 @@ def test_a_failed_group_is_reported_and_others_finish(spark):
     assert got["a"] == ("one", None) and got["b"][0] is None and "exit 1" in got["b"][1]
     with pytest.raises(ValueError, match="no command"):
         X.Tool("x").argv()
+
+
+def test_fields_are_split_once_a_row(spark, put):
+    """Filters on fields that fail to parse don't split the line again each."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    line = "g1 - 200 Fam - 100 1e-30 180.5 0.1 1 2 1e-9 1e-9 100.5 0.0 1 60 1 50 1 90 0.9 text\n"
+    assert plan(T.domtblout(spark, put("once.domtbl", line))).count("split(") == 1
+    assert plan(T.foldseek(spark, put("once.tsv", "g\tR1_OG1\t1\t2\t0.5\n"))).count("split(value") == 1
+
+
+def test_a_hits_domains_come_in_the_files_order(spark, put, monkeypatch):
+    monkeypatch.setattr(T, "TASK_BYTES", 1000)
+    row = lambda i, bits, d: f"g{i} - 200 Fam - 100 1e-30 {bits} 0.1 1 2 1e-9 1e-9 {d} 0.0 {d} 60 {d} 50 1 90 0.9 text\n"
+    for n, bits, ds in (("b", 20, (1, 4)), ("a", 10, (9, 2))):
+        path = put(f"domains/{n}.txt", "".join(row(i, bits, d) for d in ds for i in range(100)))
+    out = T.domtblout(spark, str(path).rsplit("/", 1)[0])
+    assert {(r.bits, tuple(d.hmm_from for d in r.domains)) for r in out.collect()} == {(10.0, (9, 2, 1, 4))} and out.count() == 100
+    assert [f.name for f in out.schema["domains"].dataType.elementType] == ["hmm_from", "hmm_to", "ali_from", "ali_to", "dom_bits"]
+    assert out.groupBy(F.spark_partition_id()).count().count() > 20

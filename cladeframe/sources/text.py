@@ -49,6 +49,11 @@ def _dealt(spark: SparkSession, path, rows: DataFrame, keys: list[str]) -> DataF
     return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), *keys)
 
 
+def _best(spark: SparkSession, path, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key in order, at being its end, dealt by key before it is sorted."""
+    return best_hit(_dealt(spark, path, rows, keys), keys, order).drop("at")
+
+
 def whole(spark: SparkSession, path) -> DataFrame:
     """value, file: one row per file, for formats that are one document."""
     return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
@@ -139,7 +144,7 @@ def profile_hits(hits: DataFrame) -> DataFrame:
 def tblout(spark: SparkSession, path, max_evalue: float = 1e-5) -> DataFrame:
     """gene, family, evalue: the hit of lowest E-value of each gene; the first row wins a tie."""
     rows = spaced(spark, path).select(field(0).alias("gene"), field(2).alias("family"), field(4, "double").alias("evalue"), "at").where(F.col("evalue") <= max_evalue)
-    return best_hit(rows, ["gene"], [F.col("evalue"), F.col("at")]).drop("at")
+    return _best(spark, path, rows, ["gene"], [F.col("evalue"), F.col("at")])
 
 
 def complete_chunks(spark: SparkSession, path, expected: int | None = None, sentinel: str = "# [ok]") -> DataFrame:
@@ -157,7 +162,7 @@ def foldseek(spark: SparkSession, path) -> DataFrame:
     from cladeframe.functions.ids import target_family
 
     rows = tabbed(spark, path).select(field(0).alias("gene"), target_family(field(1)).alias("family"), field(2, "double").alias("evalue"), field(3, "double").alias("bits"), field(4, "double").alias("tm"), "at")
-    return best_hit(rows.dropna(subset=["evalue", "bits", "tm"]), ["gene", "family"], [F.col("tm").desc(), F.col("at")]).drop("at")
+    return _best(spark, path, rows.dropna(subset=["evalue", "bits", "tm"]), ["gene", "family"], [F.col("tm").desc(), F.col("at")])
 
 
 #: Columns of the two wide hit tables.
@@ -173,21 +178,21 @@ def hit_table(spark: SparkSession, path, columns: tuple[str, ...], numbers: tupl
 
 def structure_best(spark: SparkSession, path) -> DataFrame:
     hits = hit_table(spark, path, STRUCTURE_COLUMNS, ("fident", "evalue", "bits", "qtmscore")).withColumn("query", F.replace("query", F.lit(".pdb"), F.lit("")))
-    return best_hit(hits, ["query"], [F.col("bits").desc(), F.col("at")]).drop("at")
+    return _best(spark, path, hits, ["query"], [F.col("bits").desc(), F.col("at")])
 
 
 def blast_best(spark: SparkSession, path, *also: Column) -> DataFrame:
     """The hit of highest bitscore of each query (and of each value of also, named expressions); the first row wins a tie."""
     hits = hit_table(spark, path, BLAST_COLUMNS, ("pident", "evalue", "bitscore")).select("*", *also)
     extra = [c for c in hits.columns if c not in (*BLAST_COLUMNS, "at")]
-    return best_hit(hits, ["qseqid", *extra], [F.col("bitscore").desc(), F.col("at")]).drop("at")
+    return _best(spark, path, hits, ["qseqid", *extra], [F.col("bitscore").desc(), F.col("at")])
 
 
 def two_columns(spark: SparkSession, path, strip: bool = False) -> DataFrame:
     """key, value; the last row of a key wins."""
     key = without_transcript(field(0)) if strip else field(0)
     rows = tabbed(spark, path).where(F.size("f") >= 2).select(key.alias("key"), field(1).alias("value"), "at")
-    return best_hit(rows, ["key"], [F.col("at").desc()]).drop("at")
+    return _best(spark, path, rows, ["key"], [F.col("at").desc()])
 
 
 def emapper(spark: SparkSession, path) -> DataFrame:

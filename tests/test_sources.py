@@ -200,6 +200,19 @@ def test_fields_are_split_once_a_row(spark, put):
     assert plan(T.foldseek(spark, put("once.tsv", "g\tR1_OG1\t1\t2\t0.5\n"))).count("split(value") == 1
 
 
+def test_best_rows_are_dealt_by_bytes_and_ties_go_to_the_first_file(spark, put, monkeypatch):
+    """A task's share is bounded however long the table is; of equal hits the first row of the first file wins, whatever the files' names are."""
+    monkeypatch.setattr(T, "TASK_BYTES", 1000)
+    names = ("part b é.txt", "part a%20.txt", "part c.txt")
+    for n in names:
+        path = put(f"deal/{n}", "".join(f"g{i} - F{n[5]}{k} - 1e-9\n" for k in (1, 2) for i in range(500)) + f"odd - {n[5]} - 1e-7\n")
+    folder = str(path).rsplit("/", 1)[0]
+    best = T.tblout(spark, folder)
+    per = [r["count"] for r in best.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(per) == 501 and len(per) > 30 and max(per) < 50
+    assert {r.family for r in best.collect()} == {"Fa1", "a"}
+
+
 def test_a_hits_domains_come_in_the_files_order(spark, put, monkeypatch):
     monkeypatch.setattr(T, "TASK_BYTES", 1000)
     row = lambda i, bits, d: f"g{i} - 200 Fam - 100 1e-30 {bits} 0.1 1 2 1e-9 1e-9 {d} 0.0 {d} 60 {d} 50 1 90 0.9 text\n"

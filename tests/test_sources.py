@@ -222,3 +222,10 @@ def test_a_hits_domains_come_in_the_files_order(spark, put, monkeypatch):
     assert {(r.bits, tuple(d.hmm_from for d in r.domains)) for r in out.collect()} == {(10.0, (9, 2, 1, 4))} and out.count() == 100
     assert [f.name for f in out.schema["domains"].dataType.elementType] == ["hmm_from", "hmm_to", "ali_from", "ali_to", "dom_bits"]
     assert out.groupBy(F.spark_partition_id()).count().count() > 20
+
+
+def test_structure_hits_are_dealt_by_gene_and_family(spark, put, monkeypatch):
+    monkeypatch.setattr(T, "TASK_BYTES", 1000)
+    best = T.foldseek(spark, put("dealt.tsv", "".join(f"g{i}\tR1_OG{i % 7}.pdb\t1e-9\t{k}\t0.5\n" for k in (1, 2) for i in range(500))))
+    per = [r["count"] for r in best.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 500 and len(per) > 20 and {r.bits for r in best.collect()} == {1.0}

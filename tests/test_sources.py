@@ -229,3 +229,12 @@ def test_structure_hits_are_dealt_by_gene_and_family(spark, put, monkeypatch):
     best = T.foldseek(spark, put("dealt.tsv", "".join(f"g{i}\tR1_OG{i % 7}.pdb\t1e-9\t{k}\t0.5\n" for k in (1, 2) for i in range(500))))
     per = [r["count"] for r in best.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per) == 500 and len(per) > 20 and {r.bits for r in best.collect()} == {1.0}
+
+
+def test_best_hits_are_dealt_by_query_and_species(spark, put, monkeypatch):
+    monkeypatch.setattr(T, "TASK_BYTES", 1000)
+    line = lambda q, s, b: "\t".join([q, s, "90", "100", "0", "0", "1", "10", "1", "10", "1e-9", str(b)]) + "\n"
+    path = put("dealt.b6", "".join(line(f"q{i}", f"S{s}_{k}", 50) for k in (1, 2) for i in range(200) for s in range(2)))
+    best = T.blast_best(spark, path, F.split_part("sseqid", F.lit("_"), F.lit(1)).alias("species"))
+    per = [r["count"] for r in best.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 400 and len(per) > 20 and {r.sseqid for r in best.collect()} == {"S0_1", "S1_1"}

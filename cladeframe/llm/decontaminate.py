@@ -170,7 +170,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits = bit_set(index.select("hash"))
     # A number for each length below SHORT that some item has.
     short = tuple(sorted(r["n"] for r in items.select(F.size("tokens").alias("n")).where((F.col("n") > 0) & (F.col("n") < SHORT)).distinct().collect()))
-    near = staged(regions(docs, bits, short), "regions").withColumn("region", F.monotonically_increasing_id())
+    near = staged(regions(docs, bits, short), "regions", texts=True).withColumn("region", F.monotonically_increasing_id())
     hits = near.select("region", F.inline(F.arrays_zip("hashes", "at"))).select("region", F.col("hashes").alias("hash"), "at")
     small = index.count() <= BROADCAST_WINDOWS
     shared = F.broadcast if small else (lambda x: x)

@@ -262,7 +262,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, island
     repeated rows among them, are packed like any others. An empty table gives an empty result. A level that saves no more than
     LEAST_SAVED of the bins opened for it is the last, so lengths that fill no bin take two levels.
     """
-    left = staged(pieces.withColumn("mid", F.monotonically_increasing_id()), "pack-pieces")
+    left = staged(pieces.withColumn("mid", F.monotonically_increasing_id()), "pack-pieces", texts=True)
     done, before, given, level = None, None, None, 0
     while True:
         groups = max(1, -(-left.count() // group))

@@ -83,7 +83,7 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
     step = max(1, min(SAMPLE, docs.count() // LEAST_ROWS))
     some = _rows(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    counts = staged(some.mapInArrow(freed(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2"), "common-shingles")
+    counts = staged(some.mapInArrow(freed(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2"), "common-shingles", texts=True)
     least = 2
     while counts.where(F.col("n") > least).count() > COMMON:
         least *= 2
@@ -169,7 +169,7 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, least: DataFrame, repeated:
         rows = by_ids(docs.select("doc_id", "text"), ids, "left_semi").unionByName(docs.select("doc_id", "text").where("doc_id IS NULL"))
         few = wanted.count() <= BROADCAST_IDS
         known = _rows(rows).mapInArrow(freed(sets), "doc_id long, node long, set array<long>").join(F.broadcast(wanted) if few else wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        known = staged(known.select("node", "set"), "sets")
+        known = staged(known.select("node", "set"), "sets", texts=True)
         known = once(known, repeated)
         met = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("p")), "a").join(known.select(F.col("node").alias("b"), F.col("set").alias("q")), "b")
         return staged(met.where((1 + similar) * F.size(F.array_intersect("p", "q")) >= similar * (F.size("p") + F.size("q")) - EPS).select("a", "b"), "similar-pairs", lasting=True)
@@ -220,7 +220,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similar: float = 0.8, small:
 
 def _similar_groups(docs: DataFrame, words: int, similar: float, small: int, index: Index | None) -> DataFrame:
     with scratch(docs.sparkSession):
-        whole = staged(prefixes(docs, words, similar), "prefixes")
+        whole = staged(prefixes(docs, words, similar), "prefixes", texts=True)
         marked = staged(whole.drop("prefix"), "marked", lasting=True)
         least = staged(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes", lasting=True)
         first = least.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"))

@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, cell:
     Equal fingerprints are one node, so copies cost a partial aggregate. Null doc_ids are never a
     component's name unless it has no other. Repeated rows are returned each. Empty in, empty out.
     """
-    marked = staged(fingerprints(docs, words), "fingerprints")
+    marked = staged(fingerprints(docs, words), "fingerprints", texts=True)
     distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     found = components(links(distinct.select("fp"), bits, cell, chunk))
     named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))

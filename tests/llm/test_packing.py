@@ -2,11 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from cladeframe.llm import packing as P
 from cladeframe.llm.tokens import ChunkIds, default_tokenizer
+from cladeframe.stage import BATCH_BYTES, TEXT_BATCH
 
 
 @pytest.fixture(scope="module")
@@ -109,3 +111,17 @@ def test_lengths_that_fill_no_bin_take_few_levels(spark, monkeypatch, lengths):
         assert [r.offset for r in rows] == [sum(x.length for x in rows[:k]) for k in range(len(rows))] and sum(r.length for r in rows) <= P.CAPACITY
     most = len(lengths) if min(lengths) > P.CAPACITY // 2 else len(lengths) // 2 + len(lengths) // 50
     assert len(bins) <= most
+
+
+def test_texts_reach_workers_in_bounded_batches(spark):
+    """10 MB of texts in one partition: their pieces are made from batches of some 4 MB, and the session's setting stays."""
+    before = spark.conf.get(BATCH_BYTES)
+    texts = spark.range(0, 100, 1, 1).selectExpr("id AS doc_id", "repeat('x', 100000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": [batch.nbytes], "piece": pa.array([0], pa.int32()), "start": [0], "length": [1], "ids_crc32": [0]})
+
+    got = [r.doc_id for r in P.pack(texts.mapInArrow(sizes, P.PIECE_SCHEMA)).collect()]
+    assert sum(got) > 10_000_000 and max(got) < TEXT_BATCH + 200_000
+    assert spark.conf.get(BATCH_BYTES) == before

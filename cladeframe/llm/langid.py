@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import freed, need
+from cladeframe.llm.common import BROADCAST_IDS, by_ids, freed, fresh, need, scratch, staged
 from cladeframe.llm.tokens import in_slices
 
 BUCKETS = 1 << 13
@@ -40,6 +40,8 @@ FIT_MOST = 2
 MOST_LANGUAGES = 1000
 #: Texts vectorised at once, and about their bytes: dense counts take 64 KB a text, n-grams some 80 bytes a character.
 SLICE, SLICE_BYTES = 128, 1 << 18
+#: Digests of rejected texts that are broadcast at most: an eighth of the ids that may be, as each takes some 100 bytes.
+BROADCAST_DIGESTS = BROADCAST_IDS // 8
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -144,7 +146,10 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CLUSTERS) -> C
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1)), pa.array(np.append(total, n))], names=["bucket", "n"])
 
-    found = rows.select("text").mapInArrow(freed(frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    spark = labelled.sparkSession
+    with scratch(spark):
+        counted = rows.select("text").mapInArrow(freed(frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        found = staged(counted, "gram-rows", texts=True).collect()
     df = np.zeros(BUCKETS + 1)
     for r in found:
         df[r["bucket"]] = r["n"]
@@ -156,7 +161,9 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CLUSTERS) -> C
     sizes = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.min("part").alias("least")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()
     # The row with the least hash is always taken: a language that repeats a few rows is learned too.
     shares = [(r["lang"], max(r["least"], min(1 << 40, math.ceil((1 << 40) * fit_rows / r["n"])) - 1)) for r in sizes]
-    shared = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, share long"))
+    # From an Arrow table the rows reach the executors without a Python worker, of which Spark would keep some beside those of mapInArrow.
+    names, least = zip(*shares, strict=True)
+    shared = F.broadcast(spark.createDataFrame(pa.table({"lang": pa.array(names, pa.string()), "share": pa.array(least, pa.int64())})))
     first_rows = F.row_number().over(Window.partitionBy("lang").orderBy("part", "key"))
     picked = hashed.join(shared, "lang").where("part <= share").withColumn("rank", first_rows).where(F.col("rank") <= FIT_MOST * fit_rows)
 
@@ -168,7 +175,8 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CLUSTERS) -> C
                 packed = [(at := np.flatnonzero(row)).astype(np.int32).tobytes() + row[at].astype(np.int32).tobytes() for row in counts]
                 yield pa.RecordBatch.from_arrays([langs.slice(first, len(texts)), pa.array(letters), pa.array(packed, pa.binary())], names=["lang", "letters", "packed"])
 
-    sample = picked.select("lang", "text").mapInArrow(freed(sparse), "lang string, letters long, packed binary").orderBy("lang", "packed").collect()
+    with scratch(spark):
+        sample = staged(picked.select("lang", "text").mapInArrow(freed(sparse), "lang string, letters long, packed binary"), "fitted-rows", texts=True).orderBy("lang", "packed").collect()
     by: dict[str, list] = {}
     for r in sample:
         if r["letters"]:
@@ -239,17 +247,25 @@ def train_on_documents(docs: DataFrame) -> Centroids:
 
 
 def keep_known(docs: DataFrame, model: Centroids | None = None) -> DataFrame:
-    """The rows of docs, all columns, whose language isn't rejected. Null and letterless texts go."""
+    """The rows of docs, all columns, whose language isn't rejected. Null and letterless texts go.
+
+    A text alone decides, so the rejected ones are staged by their SHA-256 and the rows are anti-joined with those: texts go to
+    Python workers in bounded batches, whoever writes the result, and don't come back.
+    """
     model = model or train_on_documents(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index("text")
-            # A slice goes back as soon as it is judged: neither side holds a second batch of texts.
-            for first, some in in_slices(batch.column(at).cast(pa.binary()), SLICE_BYTES, SLICE):
-                yield batch.slice(first, len(some)).filter(pa.array(~model.predict(some)[2]))
-
-    return docs.mapInArrow(freed(run), docs.schema)
+            for first, some in in_slices(batch.column(1), SLICE_BYTES, SLICE):
+                gone = batch.column(0).slice(first, len(some)).filter(pa.array(model.predict(some)[2]))
+                if len(gone):
+                    yield pa.RecordBatch.from_arrays([gone], names=["gone"])
+
+    text, name = F.col("text").cast("string").cast("binary"), fresh(docs, "digest_")
+    some = docs.where(F.col("text").isNotNull())
+    digest = F.unhex(F.sha2(text, 256))
+    gone = staged(some.select(digest.alias("digest"), text.alias("text")).mapInArrow(freed(run), "gone binary").distinct(), "rejected", texts=True)
+    return by_ids(some.withColumn(name, digest), gone, "left_anti", name, BROADCAST_DIGESTS).drop(name)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cladeframe.llm import langid, quality
+from cladeframe.llm.common import staged
 
 from .conftest import prose
 
@@ -35,6 +37,33 @@ def test_languages_of_held_out_documents(spark, docs, no_docs):
     assert kept.columns == df.columns and kept.count() == len(rows)
 
 
+@pytest.mark.parametrize("most", [langid.BROADCAST_DIGESTS, 0])
+def test_rejected_texts_go_whoever_writes_the_result(spark, monkeypatch, most):
+    """Workers get texts in bounded batches where rejected ones are staged, none where the result is written; each row goes by its own text."""
+    rows = [(k, text(lang, k), lang, b"x") for k in range(60) for lang in ("aa", "cc")]
+    model = langid.train_on_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, digest_ binary"))
+    odd = [(1, None), (2, ""), (3, "12 - 34"), (3, rows[0][1]), (3, rows[0][1]), (None, rows[1][1]), (None, "?!"), (4, "Привет как дела друзья мои хорошие"), (5, "?!"), (6, "a" * 5000 + rows[2][1])]
+    df = spark.createDataFrame([(i, t, "aa", b"x") for i, t in odd], "doc_id long, text string, lang string, digest_ binary").repartition(3)
+    bounded = []
+    monkeypatch.setattr(langid, "staged", lambda df, tag, texts=False: (bounded.append(texts), staged(df, tag, texts=texts))[1])
+    monkeypatch.setattr(langid, "BROADCAST_DIGESTS", most)
+    kept = langid.keep_known(df, model)
+    assert bounded == [True] and "MapInArrow" not in kept._jdf.queryExecution().toString() and kept.schema == df.schema
+    told = {t: r for _, t in odd if t for r in model.predict([t.encode()])[2].tolist()}
+    assert not told[rows[0][1]] and told["?!"] and told["Привет как дела друзья мои хорошие"]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, ((i, t) for i, t in odd if t and not told[t])))
+
+
+def test_learning_needs_bounded_batches_and_one_kind_of_python_worker(spark, monkeypatch):
+    """Rows made from a Python list pass through workers of their own, which Spark keeps beside those of mapInArrow; an Arrow table's don't."""
+    df = spark.createDataFrame([(k, text(lang, k), lang) for k in range(20) for lang in ("aa", "cc")], "doc_id long, text string, lang string")
+    made, bounded, make = [], [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: (made.append(type(data)), make(self, data, *a, **k))[1])
+    monkeypatch.setattr(langid, "staged", lambda df, tag, texts=False: (bounded.append(texts), staged(df, tag, texts=texts))[1])
+    assert langid.train_on_documents(df).languages == ["aa", "cc"]
+    assert made == [pa.Table] and bounded == [True, True]
+
+
 def test_other_languages_and_junk_are_rejected(spark):
     """Junk that bears a language's label neither loosens the floor nor passes it; short clean texts pass."""
     rows = [(text(lang, i, 20 + i % 60), lang) for i in range(120) for lang in ("aa", "cc")]

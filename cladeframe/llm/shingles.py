@@ -2,7 +2,7 @@
 
 In any one order of all shingles, two sets of similarity s at least share a shingle within their first n - ceil(s * n) + 1
 (n a set's size), so a set is dealt to one cell for each of those and every similar pair meets in a cell. Rare shingles come
-first, as counted in a sample: another order changes the work, never the result. Pairs that meet are compared in full. Whoever calls can
+first, as counted in all rows by their bucket: another order changes the work, never the result. Pairs that meet are compared in full. Whoever calls can
 give pairs to begin with, such as those of an index of fingerprints: they are compared first, and what they link isn't sought again.
 """
 
@@ -22,10 +22,8 @@ from cladeframe.llm.components import components
 from cladeframe.llm.tokens import in_slices
 
 SEED = 42
-#: At least so many rows, and one of SAMPLE in any case, are counted for the order of the shingles.
-LEAST_ROWS, SAMPLE = 20_000, 16
-#: Shingles held as common by each worker at most: 16 MB.
-COMMON = 1_000_000
+#: Buckets, by the low bits of their hash, in which the shingles of all rows are counted: 8 MB in each worker.
+BUCKETS = 1 << 20
 #: Cells of more sets than SMALL begin with pairs of one of them with all others, in PIVOT_ROUNDS rounds; then all left in them that are still apart are paired.
 SMALL, PIVOT_ROUNDS = 2, 4
 #: Slack for rounding in bounds; it only lets more pairs be compared.
@@ -73,29 +71,28 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) found in several rows of a sample, and in how many."""
+def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
+    """For each bucket, in how many rows its shingles are, summed over all rows and shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for _, texts in in_slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, words) for t in texts]))], names=["h"])
+                own += np.bincount(np.concatenate([shingle_set(t, words) for t in texts]) & (BUCKETS - 1), minlength=BUCKETS)
+        met = np.flatnonzero(own)
+        for at in range(0, len(met), 65536):
+            some = met[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(own[some])], names=["bucket", "n"])
 
-    step = max(1, min(SAMPLE, docs.count() // LEAST_ROWS))
-    some = _rows(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    counts = staged(some.mapInArrow(freed(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2"), "common-shingles", texts=True)
-    least = 2
-    while counts.where(F.col("n") > least).count() > COMMON:
-        least *= 2
-    found = counts.where(F.col("n") > least).toArrow()
-    h, n = found.column("h").to_numpy(), found.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+    found = staged(_rows(docs).mapInArrow(freed(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "shingle-counts", texts=True).toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
 
 
 def prefixes(docs: DataFrame, words: int, similar: float) -> DataFrame:
     """doc_id, node (a hash of the set of shingles), size, fp (fingerprint of its shingles), prefix (its rarest, in order) of every row."""
-    common, often = common_shingles(docs, words)
+    often = shingle_counts(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as digest
@@ -109,9 +106,7 @@ def prefixes(docs: DataFrame, words: int, similar: float) -> DataFrame:
                     h = np.unique(own.view(np.int64))
                     nodes.append(digest(h.tobytes(), SEED))
                     sizes.append(len(h))
-                    if len(h) and len(common):
-                        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                        h = h[np.argsort(np.where(common[at] == h, often[at], 0), kind="stable")]
+                    h = h[np.argsort(often[h & (BUCKETS - 1)], kind="stable")]
                     firsts.append(h[: len(h) - int(np.ceil(similar * len(h) - EPS)) + 1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps.view(np.int64)), _lists(firsts)], names=["doc_id", "node", "size", "fp", "prefix"])
 

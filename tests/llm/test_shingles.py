@@ -71,3 +71,14 @@ def test_the_stage_drops_copies_from_a_similarity_of_four_fifths(spark, rows):
     kept = corpus_pipeline.near_duplicates(spark, df, "")
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({i for (i, _), c in zip(rows, brute_groups(rows), strict=True) if i == c})
+
+
+def test_shingles_of_all_rows_are_counted(spark):
+    """50,000 rows: a passage is in each tenth of them, so its bucket has just so many more than others; none is left to a sample."""
+    often = "one passage that many share"
+    texts = [(i, often if i % 10 == 0 else f"row {i}") for i in range(50_000)]
+    counts = J.shingle_counts(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), 5)
+    assert counts.sum() == 50_000
+    bucket = int(J.shingle_set(often.encode(), 5)[0]) & (J.BUCKETS - 1)
+    others = [int(J.shingle_set(t.encode(), 5)[0]) & (J.BUCKETS - 1) for i, t in texts if i % 10]
+    assert counts[bucket] == 5_000 + others.count(bucket)
